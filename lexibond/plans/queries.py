@@ -127,8 +127,8 @@ def _clean(x: str) -> str:
 
 
 def _stop_sql(col: str) -> str:
-    rows = ", ".join(f"('{k}', '{w}')" for k, v in STOPWORDS.items() for w in v.split())
-    return f"NOT EXISTS (SELECT 1 FROM (VALUES {rows}) AS s(sl, sw) WHERE s.sl = x.lang AND s.sw = x.{col})"
+    lists = (f"lang = '{k}' AND {col} IN ({', '.join(repr(w) for w in v.split())})" for k, v in STOPWORDS.items())
+    return "NOT (" + " OR ".join(f"({x})" for x in lists) + ")"
 
 
 _ARRAYS = rf"SELECT lang, CAST(((1900 + doc_id % 100) // 10) * 10 AS INTEGER) AS decade, regexp_split_to_array(coalesce(text, ''), '\s+') AS a FROM documents"
