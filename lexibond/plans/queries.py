@@ -154,12 +154,14 @@ def _bi_sql(pairs: str) -> str:
 
 
 def _margins_sql(words: str, pairs: str) -> str:
-    return f"""WITH uni AS MATERIALIZED ({_uni_sql(words)}), bi AS MATERIALIZED ({_bi_sql(pairs)}),
-        sizes AS (SELECT lang, decade, CAST(sum(c) AS BIGINT) AS n FROM uni GROUP BY lang, decade)
+    """Words are joined by one composed key; with several columns the engine may join the two word tables first."""
+    key = "concat_ws(chr(9), lang, decade, {})".format
+    return f"""WITH uni AS MATERIALIZED (SELECT {key("w")} AS k, * FROM ({_uni_sql(words)})),
+        bi AS MATERIALIZED (SELECT {key("w1")} AS k1, {key("w2")} AS k2, * FROM ({_bi_sql(pairs)})),
+        sizes AS MATERIALIZED (SELECT concat_ws(chr(9), lang, decade) AS k, CAST(sum(c) AS BIGINT) AS n FROM uni GROUP BY lang, decade)
         SELECT bi.lang, bi.decade, bi.w1, bi.w2, bi.c12, a.c AS c1, b.c AS c2, sizes.n FROM bi
-        JOIN uni a ON a.lang = bi.lang AND a.decade = bi.decade AND a.w = bi.w1
-        JOIN uni b ON b.lang = bi.lang AND b.decade = bi.decade AND b.w = bi.w2
-        JOIN sizes ON sizes.lang = bi.lang AND sizes.decade = bi.decade"""
+        JOIN uni a ON a.k = bi.k1 JOIN uni b ON b.k = bi.k2
+        JOIN sizes ON sizes.k = concat_ws(chr(9), bi.lang, bi.decade)"""
 
 
 def _llr_sql(margins: str) -> str:
@@ -198,7 +200,7 @@ ORACLES: dict[str, str] = {
     "corpus_size": f"SELECT lang, decade, count(*) AS n FROM ({_words_sql(_ARRAYS, False)}) GROUP BY lang, decade",
     "stopword_filtered_unigrams": _uni_sql(_words_sql(_ARRAYS, True)),
     "stopword_filtered_bigrams": _bi_sql(_pairs_sql(_ARRAYS, True)),
-    "pairs_with_c1": f"SELECT bi.lang, bi.decade, bi.w1, bi.w2, bi.c12, uni.c AS c1 FROM ({_bi_sql(_pairs_sql(_ARRAYS, True))}) bi JOIN ({_uni_sql(_words_sql(_ARRAYS, True))}) uni ON uni.lang = bi.lang AND uni.decade = bi.decade AND uni.w = bi.w1",
+    "pairs_with_c1": f"SELECT lang, decade, w1, w2, c12, c1 FROM ({_margins_sql(_words_sql(_ARRAYS, True), _pairs_sql(_ARRAYS, True))})",
     "pairs_with_margins": _margins_sql(_words_sql(_ARRAYS, True), _pairs_sql(_ARRAYS, True)),
     "llr_scores": _PART_LLR,
     "top_k_llr": _top_sql(_PART_LLR, 5),
