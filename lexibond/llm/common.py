@@ -2,6 +2,7 @@
 
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -78,23 +79,52 @@ _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f"
 #: White space beyond ASCII, then ASCII white space.
 _MIXED = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\x20\x09-\x0d]")
 _SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+#: White space other than single spaces and line ends, and the three bytes that mark keys.
+_ODD = re.compile(rb"[\x20\n][\x20\n]|[\x00-\x02\t\x0b-\x0d]")
+#: A full stop or comma at a word's end that doesn't follow an ASCII letter or digit or a Latin-1 letter.
+_LOOSE = re.compile(rb"(?<![A-Za-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,][\x20\n]")
+
+
+def _cut_marks(text: bytes, mark: bytes) -> bytes:
+    """Set full stops and commas that end a word apart, if all of them follow a letter or digit."""
+    if _LOOSE.search(text):
+        return text
+    for x in (b". ", b", ", b".\n", b",\n"):
+        text = text.replace(x, b" " + mark + x)
+    return text
 
 
 def spaced_pieces(text: bytes) -> list[bytes]:
-    """Cut a text before white space so that byte-level BPE of the pieces gives the ids of the whole.
+    """Cut a text before white space so that byte-level BPE of the pieces gives the ids of the whole; see ``plain``.
 
-    That pre-tokenizer never runs on from a letter, digit or mark into white space, and what it makes of white
-    space depends on that run and on whether something follows. A run that mixes other white space with ASCII
-    would be cut within; such a text stays whole.
+    That pre-tokenizer never runs on from a letter, digit or mark into white space, nor from a letter into a mark, and
+    what it makes of white space depends on that run and on whether something follows. A run that mixes other white
+    space with ASCII would be cut within; such a text stays whole. The pieces are keys: a first byte 0 stands for a
+    line end, 1 for nothing, 2 for a piece that is given as it is, and none of these for a space.
     """
     if any(x in text for x in _WIDE) and _MIXED.search(text):
-        return [text]
-    return _SPACED.findall(text)
+        return [b"\x02" + text]
+    if _ODD.search(text):
+        return [b"\x02" + x for x in _SPACED.findall(text)]
+    return (b"\x01" + _cut_marks(text, b"\x01").replace(b"\n", b" \x00")).split(b" ")
 
 
 def space_dropped_pieces(text: bytes) -> list[bytes]:
-    """Cut at ASCII white space, for vocabularies that drop white space."""
-    return text.split()
+    """Cut at ASCII white space, for vocabularies that drop white space and lower-case; keys as of ``spaced_pieces``.
+
+    Special tokens' names are in lower case and hold '<|': where that occurs, letters stay as they are.
+    """
+    if b"<|" in text:
+        return [b"\x02" + x for x in text.split()]
+    return (_cut_marks(text.lower(), b"") if b"\x00" not in text and b"\x01" not in text and b"\x02" not in text else b"\x02" + b" \x02".join(text.split())).split()
+
+
+def plain(piece: bytes) -> bytes:
+    """The text of a piece."""
+    first = piece[:1]
+    if first in (b"\x01", b"\x02"):
+        return piece[1:]
+    return b"\n" + piece[1:] if first == b"\x00" else b" " + piece
 
 
 class Pieces:
@@ -104,7 +134,7 @@ class Pieces:
     together, a batch at a time.
     """
 
-    def __init__(self, path: str, cut: Callable[[bytes], list[bytes]], limit: int = 400_000) -> None:
+    def __init__(self, path: str, cut: Callable[[bytes], list[bytes]], limit: int = 1_000_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -115,13 +145,11 @@ class Pieces:
         self.tokenizer.no_padding()
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
+        texts = [plain(p).decode("utf-8", "replace") for p in pieces]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def value(self, ids: list[int]):
-        import numpy as np
-
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def fill(self, texts: list[list[bytes]]) -> None:
         missing = set()

@@ -75,7 +75,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
     cut = space_dropped_pieces if drops_space else spaced_pieces
     words = frequent_pieces(docs, cut, text)
     sizes = [len(x) for x in Lengths(path, cut).encode(words)] if words else []
-    packed = spark.sparkContext.broadcast((b"\xff".join(words), sizes))
+    packed = spark.sparkContext.broadcast((b"\xff".join(words), sizes))  # no UTF-8 text holds that byte
 
     def make():
         lengths = pieces_of(path, cut, Lengths)
