@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexibond.llm import binary, decontam, exact, packing, simhash, tokens, toxicity
+from lexibond.llm import binary, decontam, exact, licenses, packing, simhash, tokens, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -20,10 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": lambda s, d: decontam.contaminated(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op5_toxicity": lambda s, d: toxicity.toxicity(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op6_packing": lambda s, d: packing.pack_texts(_docs(s, d), path("byte_bpe_50k.json")),
+        "op7_license_scan": lambda s, d: licenses.scan_documents(_docs(s, d, "doc_id", "text", "lang", "source")),
         "op9_simhash": lambda s, d: simhash.near_groups(_docs(s, d)),
         "op10_token_counts": lambda s, d: tokens.count_tokens(_docs(s, d), path("byte_bpe_50k.json")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact.ORACLE}
+    return {"op1_exact_dedup": exact.ORACLE, "op7_license_scan": licenses.oracle()}
