@@ -5,6 +5,7 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,15 +80,26 @@ _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f"
 #: White space beyond ASCII, then ASCII white space.
 _MIXED = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\x20\x09-\x0d]")
 _SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
-#: White space other than single spaces and line ends, and the three bytes that mark keys.
-_ODD = re.compile(rb"[\x20\n][\x20\n]|[\x00-\x02\t\x0b-\x0d]")
-#: A full stop or comma at a word's end that doesn't follow an ASCII letter or digit or a Latin-1 letter.
-_LOOSE = re.compile(rb"(?<![A-Za-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,][\x20\n]")
+#: The three bytes that mark keys, and white space other than spaces and line ends; then runs of these two.
+_CONTROLS, _RUNS = b"\x00\x01\x02\t\x0b\x0c\r", (b"  ", b"\n\n", b" \n", b"\n ")
+#: Classes of bytes: 1 ASCII letters and digits, 2 second bytes of Latin-1 letters, 4 full stop and comma, 8 space and line end.
+_CLASS = np.zeros(256, np.uint8)
+for _bytes, _class in ((b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (bytes(set(range(0x80, 0xC0)) - {0x97, 0xB7}), 2), (b".,", 4), (b" \n", 8)):
+    _CLASS[list(_bytes)] = _class
+
+
+def _odd(text: bytes) -> bool:
+    """Whether a text has white space other than single spaces and line ends, or a byte that marks keys."""
+    return any(x in text for x in _RUNS) or len(text.translate(None, _CONTROLS)) != len(text)
 
 
 def _cut_marks(text: bytes, mark: bytes) -> bytes:
-    """Set full stops and commas that end a word apart, if all of them follow a letter or digit."""
-    if _LOOSE.search(text):
+    """Set full stops and commas that end a word apart, if all of them follow an ASCII letter or digit or a Latin-1 letter."""
+    raw = np.frombuffer(text, np.uint8)
+    kind = _CLASS[raw]
+    at = np.flatnonzero((kind[:-1] == 4) & (kind[1:] == 8))
+    before = kind[at - 1]
+    if not len(at) or at[0] == 0 or not ((before == 1) | ((before == 2) & (raw[at - 2] == 0xC3) & (at > 1))).all():
         return text
     for x in (b". ", b", ", b".\n", b",\n"):
         text = text.replace(x, b" " + mark + x)
@@ -104,7 +116,7 @@ def spaced_pieces(text: bytes) -> list[bytes]:
     """
     if any(x in text for x in _WIDE) and _MIXED.search(text):
         return [b"\x02" + text]
-    if _ODD.search(text):
+    if _odd(text):
         return [b"\x02" + x for x in _SPACED.findall(text)]
     return (b"\x01" + _cut_marks(text, b"\x01").replace(b"\n", b" \x00")).split(b" ")
 
@@ -116,7 +128,9 @@ def space_dropped_pieces(text: bytes) -> list[bytes]:
     """
     if b"<|" in text:
         return [b"\x02" + x for x in text.split()]
-    return (_cut_marks(text.lower(), b"") if b"\x00" not in text and b"\x01" not in text and b"\x02" not in text else b"\x02" + b" \x02".join(text.split())).split()
+    if len(text.translate(None, b"\x00\x01\x02")) != len(text):
+        return [b"\x02" + x for x in text.lower().split()]
+    return _cut_marks(text.lower(), b"").split()
 
 
 def plain(piece: bytes) -> bytes:
@@ -141,15 +155,42 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut, self.limit, self.known = Tokenizer.from_file(path), cut, limit, {}
+        self.tokenizer.model._resize_cache(0)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        texts = [plain(p).decode("utf-8", "replace") for p in pieces]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def value(self, ids: list[int]):
-        return array("I", ids).tobytes()
+        between = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
+        self.between = between[1] if len(between) == 3 else None
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as bytes.
+
+        Pieces of letters and marks are encoded many at a time, with line ends between: where the vocabulary keeps a
+        lone line end as one id, that id parts them again. A group that doesn't come out in as many parts, like
+        pieces that hold white space themselves, is encoded piece by piece.
+        """
+        out: dict[bytes, bytes] = {}
+        alone = [p for p in pieces if p[:1] in (b"\x00", b"\x02", b"")] if self.between is not None else list(pieces)
+        if len(alone) < len(pieces):
+            others = set(alone)
+            rest = [p for p in pieces if p not in others]
+            groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
+            texts = [b"\n".join(map(plain, g)) for g in groups]
+            plainly = [not any(x in t for x in _WIDE) and b"<|" not in t for t in texts]
+            texts = [t.decode("utf-8", "replace") for t in texts]
+            for g, e, ok in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), plainly, strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.between)
+                if not ok or len(cuts) != len(g) - 1:
+                    alone += g
+                    continue
+                data = ids.tobytes()
+                out.update((p, data[4 * i : 4 * j]) for p, i, j in zip(g, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True))
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast([plain(p).decode("utf-8", "replace") for p in alone], add_special_tokens=False), strict=True):
+            out[p] = array("I", e.ids).tobytes()
+        return [out[p] for p in pieces]
+
+    def value(self, ids: bytes):
+        return ids
 
     def fill(self, texts: list[list[bytes]]) -> None:
         missing = set()

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexibond.llm import binary, decontam, exact, licenses, packing, simhash, substring, tokens, toxicity
+from lexibond.llm import binary, decontam, exact, extraction, licenses, packing, simhash, substring, tokens, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": lambda s, d: exact.dedup_documents(_docs(s, d)),
         "op2_binary_output": lambda s, d: binary.binary_round_trip(_docs(s, d), path("word_bpe_49k.json")),
+        "op3_html_extraction": lambda s, d: extraction.extract(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")),
         "op4_decontamination": lambda s, d: decontam.contaminated(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op5_toxicity": lambda s, d: toxicity.toxicity(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op6_packing": lambda s, d: packing.pack_texts(_docs(s, d), path("byte_bpe_50k.json")),
