@@ -71,6 +71,19 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[],
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+def filter_text(docs: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The rows that a function of their texts keeps, with all columns; ``make`` runs once a task."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for b in batches:
+            yield b.filter(pa.array(keep([x or b"" for x in b.column(place).cast(pa.binary()).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def lower_ascii(column) -> F.Column:
     """Lower-case A to Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import small_batches
+from lexibond.llm.common import filter_text, small_batches
 
 #: Repetitions (each a walk and a sample), places in a sample, and edits allowed as a share of an item's words.
 REPETITIONS, PLACES, EDITS = 16, 3, 0.2
@@ -194,32 +194,33 @@ def walk(words: np.ndarray, pos: np.ndarray, mix: int, start: int, stop: int) ->
     return pos
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], edits: float, key: str, text: str) -> DataFrame:
-    symbols = Symbols()
-    sent = docs.sparkSession.sparkContext.broadcast([(k, symbols.of((t or "").encode())) for k, t in items])
+def _hits(index: Index, texts: list[np.ndarray], edits: float) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Best stretch by places of a text and an item."""
+    bounds = np.cumsum([len(t) for t in texts])
+    words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    tried, best = set(), {}
+    for at, found in index.candidates(words):
+        d = int(np.searchsorted(bounds, at, "right"))
+        first = int(bounds[d] - len(texts[d]))
+        for n in found:
+            item = index.items[n][1]
+            mark = (d, n, (at - first) // max(4, len(item) // 4))
+            if mark not in tried:
+                tried.add(mark)
+                hit = verify(item, texts[d], at - first, int(edits * len(item)))
+                if hit is not None and ((d, n) not in best or hit < best[d, n]):
+                    best[d, n] = hit
+    return best
+
+
+def _search(docs: DataFrame, sent, edits: float, key: str, text: str) -> DataFrame:
     schema = f"{key} bigint, item_id bigint, edits int, start_word bigint, end_word bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, own = Index(sent.value), Symbols()
         for b in batches:
             keys = b.column(0).to_pylist()
-            texts = [own.of(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()]
-            rows = []
-            bounds = np.cumsum([len(t) for t in texts])
-            words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-            tried, best = set(), {}
-            for at, found in index.candidates(words):
-                d = int(np.searchsorted(bounds, at, "right"))
-                first = int(bounds[d] - len(texts[d]))
-                for n in found:
-                    item_id, item = index.items[n]
-                    mark = (d, n, (at - first) // max(4, len(item) // 4))
-                    if mark in tried:
-                        continue
-                    tried.add(mark)
-                    hit = verify(item, texts[d], at - first, int(edits * len(item)))
-                    if hit is not None and ((d, n) not in best or hit < best[d, n]):
-                        best[d, n] = hit
+            best = _hits(index, [own.of(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()], edits)
             rows = [(keys[d], index.items[n][0], *hit) for (d, n), hit in sorted(best.items())]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
@@ -228,6 +229,20 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], edits: float, key: st
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+def _blocks(benchmark: DataFrame, item: str) -> Iterator:
+    """Broadcasts of the benchmark's items, each of bounded size; one, if empty, at least."""
+    symbols, block, size, sent = Symbols(), [], 0, 0
+    spark = benchmark.sparkSession
+    for r in benchmark.select(item, "text").orderBy(item).toLocalIterator():
+        if block and (len(block) >= BLOCK_ITEMS or size + len(r[1] or "") > BLOCK_BYTES):
+            yield spark.sparkContext.broadcast(block)
+            block, size, sent = [], 0, sent + 1
+        block.append((r[0], symbols.of((r[1] or "").encode())))
+        size += len(r[1] or "")
+    if block or not sent:
+        yield spark.sparkContext.broadcast(block)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """``key, item_id, edits, start_word, end_word``: documents that hold a benchmark item within ``edits`` of its words.
 
@@ -237,20 +252,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, ke
     Null and empty texts hold nothing, items without words are in nothing; rows of either with null or repeated keys
     are searched like others. Empty tables give no rows. Other columns are ignored.
     """
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    out, block, size = None, [], 0
+    small_batches(docs.sparkSession)
+    found = [_search(docs, sent, edits, key, text) for sent in _blocks(benchmark, item)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
-    def search() -> None:
-        nonlocal out, block, size
-        found = _search(docs, block, edits, key, text)
-        out, block, size = found if out is None else out.unionByName(found), [], 0
 
-    for r in benchmark.select(item, "text").orderBy(item).toLocalIterator():
-        if block and (len(block) >= BLOCK_ITEMS or size + len(r[1] or "") > BLOCK_BYTES):
-            search()
-        block.append((r[0], r[1]))
-        size += len(r[1] or "")
-    if block or out is None:
-        search()
-    return out
+def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str = "text", item: str = "item_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark item. Rows aren't shuffled."""
+
+    def without(docs: DataFrame, sent) -> DataFrame:
+        def make():
+            index, own = Index(sent.value), Symbols()
+
+            def keep(texts: list[bytes]) -> list[bool]:
+                held = {d for d, _ in _hits(index, [own.of(t) for t in texts], edits)}
+                return [d not in held for d in range(len(texts))]
+
+            return keep
+
+        return filter_text(docs, text, make)
+
+    for sent in _blocks(benchmark, item):
+        docs = without(docs, sent)
+    return docs

@@ -68,6 +68,18 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     return exact_dedup(docs, DigestIndex(spark, workspace(spark, "digest-index")))
 
 
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps; of rows equal in key and text one."""
+    spark = docs.sparkSession
+    found = exact_dedup(docs, DigestIndex(spark, workspace(spark, "digest-index")), key, text).where("kept")
+    found = written(found.groupBy(F.col(key).alias("_key"), F.col("text_sha256").alias("_digest")).agg((F.count("*") > 1).alias("_again")), "kept-rows")
+    rows = docs.withColumn("_own", digest_of(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_digest"))
+    once = rows.join(found.where("not _again"), same, "left_semi")
+    again = rows.join(found.where("_again"), same, "left_semi").dropDuplicates([key, "_own"])
+    return once.unionByName(again).drop("_own")
+
+
 ORACLE = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 WINDOW g AS (PARTITION BY text_sha256)"""

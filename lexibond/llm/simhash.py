@@ -179,3 +179,9 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     out = rows.hint("merge").join(written(out, "members"), "fp", "left")
     component = F.when(F.col("id").isNotNull(), F.col("component_id"))
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest key of their group or no key."""
+    groups = near_groups(docs, key=key, text=text, **options).where(f"{key} <> component_id").select(F.col(key).alias("_key"))
+    return docs.join(written(groups.distinct(), "near-copies"), F.col(key) == F.col("_key"), "left_anti")

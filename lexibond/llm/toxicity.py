@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import map_text
+from lexibond.llm.common import filter_text, map_text
 
 #: Words and their first ``PREFIX`` letters are hashed to this many buckets each; only buckets in ``MIN_DOCS`` sampled
 #: texts or more get an embedding. A word whose bucket has none takes that of its first letters.
@@ -263,6 +263,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return map_text(docs, key, text, f"{key} bigint, score double, predicted int", make)
 
 
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text isn't predicted toxic. Rows aren't shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own, words = sent.value, Words()
+        tables = own.tables()
+        return lambda texts: [own.score(words.codes(t), tables) < 0.5 for t in texts]
+
+    return filter_text(docs, text, make)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of all documents, by a model fitted to the labelled ones."""
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
