@@ -90,29 +90,34 @@ def lower_ascii(column) -> F.Column:
 
 
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: Text bytes whose pieces are looked up together.
+GROUP_BYTES = 1 << 20
 #: White space beyond ASCII, then ASCII white space.
 _MIXED = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\x20\x09-\x0d]")
 _SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
-#: The three bytes that mark keys, and white space other than spaces and line ends; then runs of these two.
-_CONTROLS, _RUNS = b"\x00\x01\x02\t\x0b\x0c\r", (b"  ", b"\n\n", b" \n", b"\n ")
-#: Classes of bytes: 1 ASCII letters and digits, 2 second bytes of Latin-1 letters, 4 full stop and comma, 8 space and line end.
-_CLASS = np.zeros(256, np.uint8)
-for _bytes, _class in ((b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (bytes(set(range(0x80, 0xC0)) - {0x97, 0xB7}), 2), (b".,", 4), (b" \n", 8)):
-    _CLASS[list(_bytes)] = _class
+#: Classes of bytes: 1 ASCII letters and digits, 2 second bytes of Latin-1 letters, 4 full stop and comma, 8 space and line
+#: end, 16 other ASCII white space and the three bytes that mark keys, 32 first bytes of wider white space, 64 that of Latin-1.
+_CLASS = bytearray(256)
+for _bytes, _class in (
+    (b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (bytes(set(range(0x80, 0xC0)) - {0x97, 0xB7}), 2), (b".,", 4),
+    (b" \n", 8), (b"\x00\x01\x02\t\x0b\x0c\r", 16), (b"\xc2\xe1\xe2\xe3", 32), (b"\xc3", 64),
+):
+    for _x in _bytes:
+        _CLASS[_x] = _class
+_CLASS = bytes(_CLASS)
 
 
-def _odd(text: bytes) -> bool:
-    """Whether a text has white space other than single spaces and line ends, or a byte that marks keys."""
-    return any(x in text for x in _RUNS) or len(text.translate(None, _CONTROLS)) != len(text)
+def _classes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.translate(_CLASS), np.uint8)
 
 
-def _cut_marks(text: bytes, mark: bytes) -> bytes:
+def _cut_marks(text: bytes, kind: np.ndarray, mark: bytes) -> bytes:
     """Set full stops and commas that end a word apart, if all of them follow an ASCII letter or digit or a Latin-1 letter."""
-    raw = np.frombuffer(text, np.uint8)
-    kind = _CLASS[raw]
     at = np.flatnonzero((kind[:-1] == 4) & (kind[1:] == 8))
+    if not len(at) or at[0] == 0:
+        return text
     before = kind[at - 1]
-    if not len(at) or at[0] == 0 or not ((before == 1) | ((before == 2) & (raw[at - 2] == 0xC3) & (at > 1))).all():
+    if not ((before == 1) | ((before == 2) & (kind[at - 2] == 64) & (at > 1))).all():
         return text
     for x in (b". ", b", ", b".\n", b",\n"):
         text = text.replace(x, b" " + mark + x)
@@ -127,11 +132,12 @@ def spaced_pieces(text: bytes) -> list[bytes]:
     space with ASCII would be cut within; such a text stays whole. The pieces are keys: a first byte 0 stands for a
     line end, 1 for nothing, 2 for a piece that is given as it is, and none of these for a space.
     """
-    if any(x in text for x in _WIDE) and _MIXED.search(text):
+    kind = _classes(text)
+    if (kind == 32).any() and any(x in text for x in _WIDE) and _MIXED.search(text):
         return [b"\x02" + text]
-    if _odd(text):
+    if (kind == 16).any() or ((kind[:-1] == 8) & (kind[1:] == 8)).any():
         return [b"\x02" + x for x in _SPACED.findall(text)]
-    return (b"\x01" + _cut_marks(text, b"\x01").replace(b"\n", b" \x00")).split(b" ")
+    return (b"\x01" + _cut_marks(text, kind, b"\x01").replace(b"\n", b" \x00")).split(b" ")
 
 
 def space_dropped_pieces(text: bytes) -> list[bytes]:
@@ -139,11 +145,12 @@ def space_dropped_pieces(text: bytes) -> list[bytes]:
 
     Special tokens' names are in lower case and hold '<|': where that occurs, letters stay as they are.
     """
+    kind = _classes(text)
     if b"<|" in text:
         return [b"\x02" + x for x in text.split()]
-    if len(text.translate(None, b"\x00\x01\x02")) != len(text):
+    if (kind == 16).any():
         return [b"\x02" + x for x in text.lower().split()]
-    return _cut_marks(text.lower(), b"").split()
+    return _cut_marks(text.lower(), kind, b"").split()
 
 
 def plain(piece: bytes) -> bytes:
@@ -161,7 +168,7 @@ class Pieces:
     together, a batch at a time.
     """
 
-    def __init__(self, path: str, cut: Callable[[bytes], list[bytes]], limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, cut: Callable[[bytes], list[bytes]], limit: int = 1_200_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -205,15 +212,24 @@ class Pieces:
     def value(self, ids: bytes):
         return ids
 
-    def fill(self, texts: list[list[bytes]]) -> None:
-        missing = set()
-        for t in texts:
-            missing.update(t)
-        missing.difference_update(self.known)
-        missing = list(missing)
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            self.known.update(zip(part, map(self.value, self.encode(part)), strict=True))
+    def values(self, texts: list[bytes]) -> Iterator[Iterator]:
+        """Each text's pieces as values, a few texts at a time, so that their pieces stay in the processor's cache."""
+        group, size = [], 0
+        for i, t in enumerate(texts):
+            group.append(self.cut(t))
+            size += len(t)
+            if size >= GROUP_BYTES or i + 1 == len(texts):
+                missing = set()
+                for p in group:
+                    missing.update(p)
+                missing = [p for p in missing if p not in self.known]
+                if missing:
+                    self.known.update(zip(missing, map(self.value, self.encode(missing)), strict=True))
+                get = self.known.__getitem__
+                for p in group:
+                    yield map(get, p)
+                self.trim()
+                group, size = [], 0
 
     def trim(self) -> None:
         if len(self.known) > self.limit:
@@ -221,12 +237,7 @@ class Pieces:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
-        cut = [self.cut(t) for t in texts]
-        self.fill(cut)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        self.trim()
-        return out
+        return [b"".join(v) for v in self.values(texts)]
 
 
 _workers: dict = {}

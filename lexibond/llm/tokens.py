@@ -84,10 +84,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
         lengths.known.update(lengths.frequent)
 
         def work(keys, texts):
-            pieces = [cut(t) for t in texts]
-            lengths.fill(pieces)
-            get = lengths.known.__getitem__
-            n_tokens = [sum(map(get, p)) for p in pieces]
+            n_tokens = [sum(v) for v in lengths.values(texts)]
             lengths.trim()
             return {key: pa.array(keys, pa.int64()), "n_bytes": pa.array(map(len, texts), pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_())}
 
