@@ -5,7 +5,7 @@ import pytest
 from lexibond.llm.extraction import extract, main_text
 
 LONG = "The cat sat on the mat and it was good for all of the people in the town."
-MORE = "The dog is in the house of the man and that is the end of it for now."
+MORE = "The dog is in the house of the man and that is the end of it for now, as it is."
 
 
 PAGES = {
