@@ -22,7 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": lambda s, d: toxicity.toxicity(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op6_packing": lambda s, d: packing.pack_texts(_docs(s, d), path("byte_bpe_50k.json")),
         "op7_license_scan": lambda s, d: licenses.scan_documents(_docs(s, d, "doc_id", "text", "lang", "source")),
-        "op8_substring_dedup": lambda s, d: substring.remove_repeats(_docs(s, d)).drop("kept"),
+        "op8_substring_dedup": lambda s, d: substring.remove_repeats(_docs(s, d), with_text=False),
         "op9_simhash": lambda s, d: simhash.near_groups(_docs(s, d)),
         "op10_token_counts": lambda s, d: tokens.count_tokens(_docs(s, d), path("byte_bpe_50k.json")),
     }

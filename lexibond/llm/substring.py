@@ -1,6 +1,6 @@
 """Repeated passages: fixed-block anchors, rolling probes, extension to maximal exact repeats.
 
-Words of a document are numbers (64-bit hashes). Reference blocks are ``window // 2`` consecutive words at multiples of
+Words are numbers (64-bit hashes). Reference blocks are ``window // 2`` consecutive words at multiples of
 that length: every window holds one whole. All documents' blocks are indexed; every rolling position probes that index.
 A hit that isn't a block's meeting with itself is extended: the windows around it are compared by 128-bit digest, and
 those that start earlier elsewhere mark their words. Overlapping windows together are the maximal repeat.
@@ -11,6 +11,7 @@ hash once a segment, so neither a passage that a third of all documents share no
 
 import struct
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -26,18 +27,55 @@ SEGMENT_BYTES, RANGE_HASHES = 6 << 20, 3_000_000
 #: Bits of a block hash that travel; a chance meeting of two only costs an extension that finds nothing.
 BITS = 48
 
-_known: dict = {}
+#: Text bytes whose words are hashed at a time.
+CHUNK = 1 << 20
+_RATIO = 0x2545F4914F6CDD1D
+_LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_SPACE = bytes(int(x in b" \t\n\x0b\x0c\r") for x in range(256))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes, cached in the worker (at most 400,000 words)."""
-    import xxhash
+def _powers(ratio: int, n: int) -> np.ndarray:
+    out = np.full(n, ratio, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    out = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    if len(_known) > 400_000:
-        _known.clear()
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and 64-bit hashes of the words of a text that ends in white space.
+
+    A word's hash is a polynomial over random numbers of its bytes; all words of a chunk are cut out of one running sum.
+    """
+    starts, hashes, at = [], [], 0
+    up = down = np.zeros(0, np.uint64)
+    while at < len(text):
+        end = at + CHUNK
+        while end < len(text) and text[end - 1] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        part = text[at:end]
+        if len(up) < len(part):
+            up, down = _powers(_RATIO, len(part)), _powers(pow(_RATIO, -1, 1 << 64), len(part))
+        space = np.frombuffer(part.translate(_SPACE), np.uint8)
+        edge = np.flatnonzero(np.diff(space, prepend=1))
+        first, last = edge[0::2], edge[1::2]
+        total = np.cumsum(_LETTERS[np.frombuffer(part, np.uint8)] * up[: len(part)], dtype=np.uint64)
+        total = np.r_[np.uint64(0), total]
+        starts.append(first + at)
+        hashes.append(_mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+        at = end
+    return np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+
+
+def among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``found``; a table of low bits settles most."""
+    table = np.zeros(1 << 22, bool)
+    low = np.uint64((1 << 22) - 1)
+    table[found & low] = True
+    out = table[values & low]
+    maybe = np.flatnonzero(out)
+    if len(found):
+        found = np.sort(found)
+        k = np.minimum(np.searchsorted(found, values[maybe]), len(found) - 1)
+        out[maybe] = found[k] == values[maybe]
     return out
 
 
@@ -85,43 +123,49 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
 
 
 class Segment:
-    """The documents of a segment in order of key: words, and places over all of them."""
+    """The documents of a segment in order of key, their words one after the other."""
 
     def __init__(self, rows: pd.DataFrame, window: int) -> None:
         rows = rows.sort_values(["doc_id", "copy"], kind="stable")
-        self.keys, self.copies = rows["doc_id"].tolist(), rows["copy"].tolist()
-        self.words = [(t or "").encode().split() for t in rows["text"]]
-        self.hashes = [word_hashes(w) for w in self.words]
-        self.size = np.array([len(w) for w in self.words], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.keys = rows["doc_id"].to_numpy(np.int64)
+        self.texts = [(t or "").encode() for t in rows["text"]]
         self.window = window
+        ends = np.cumsum([len(t) + 1 for t in self.texts])
+        starts, self.hashes = word_hashes(b"\n".join(self.texts) + b"\n")
+        doc = np.searchsorted(ends, starts, "right")
+        self.size = np.bincount(doc, minlength=len(self.texts)).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        #: Words from each place to the end of its document, and to it from its start and from that of its key's first row.
+        self.left = self.first[doc + 1] - np.arange(len(doc))
+        self.at = np.arange(len(doc)) - self.first[doc]
+        self.key = self.keys[doc]
+        same = np.searchsorted(self.keys, self.keys, "left")
+        self.order = np.arange(len(doc)) - self.first[same][doc]
+
+    def _rolling(self, n: int, base: int) -> np.ndarray:
+        """A hash at each place where ``n`` words of one document start; elsewhere the number is of no use."""
+        out = np.zeros(len(self.hashes), np.uint64)
+        h = rolling(self.hashes, n, base)
+        out[: len(h)] = h
+        return out
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, place and whether it's a reference block, of every rolling position."""
         n = self.window // 2
-        h = [rolling(x, n, 0x5851F42D4C957F2D) >> np.uint64(64 - BITS) for x in self.hashes]
-        at = [np.arange(len(x), dtype=np.int64) for x in h]
-        place = [a + f for a, f in zip(at, self.first, strict=False)]
-        return np.concatenate(h or [np.zeros(0, np.uint64)]), np.concatenate(place or [np.zeros(0, np.int64)]), np.concatenate([a % n == 0 for a in at] or [np.zeros(0, bool)])
-
-    def windows(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Digests (two numbers) and places of the windows that hold a block at one of the places ``hits``."""
-        n, total = self.window // 2, int(self.first[-1])
-        mark = np.zeros(total + 1, np.int64)
+        place = np.flatnonzero(self.left >= n)
+        return self._rolling(n, 0x5851F42D4C957F2D)[place] >> np.uint64(64 - BITS), place, self.at[place] % n == 0
+
+    def around(self, hits: np.ndarray) -> np.ndarray:
+        """Places of the windows that hold a block at one of the places ``hits``."""
+        n, total = self.window // 2, len(self.hashes)
+        mark = np.zeros(total + 1, np.int32)
         np.add.at(mark, np.maximum(hits - (self.window - n), 0), 1)
         np.add.at(mark, np.minimum(hits + 1, total), -1)
-        near = np.cumsum(mark)[:total] > 0
-        a, b, place = [], [], []
-        for h, f in zip(self.hashes, self.first, strict=False):
-            m = len(h) - self.window + 1
-            if m > 0 and near[f : f + m].any():
-                own = np.flatnonzero(near[f : f + m])
-                a.append(rolling(h, self.window, 0x9E3779B97F4A7C15)[own])
-                b.append(rolling(h, self.window, 0xC2B2AE3D27D4EB4F)[own])
-                place.append(own + f)
-        if not a:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(a), np.concatenate(b), np.concatenate(place)
+        return np.flatnonzero((np.cumsum(mark)[:total] > 0) & (self.left >= self.window))
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of 64 and 32 bits of the window at each place."""
+        return self._rolling(self.window, 0x9E3779B97F4A7C15), (self._rolling(self.window, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
 
 
 def _ranges(h: np.ndarray, bits: int, n: int) -> Iterator[tuple[int, slice]]:
@@ -132,14 +176,14 @@ def _ranges(h: np.ndarray, bits: int, n: int) -> Iterator[tuple[int, slice]]:
             yield k, slice(i, j)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """``key, n_words, n_removed, kept_sha256`` (and ``kept``, the text that is left) of every document.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", segment_bytes: int = SEGMENT_BYTES, with_text: bool = True) -> DataFrame:
+    """``key, n_words, n_removed, kept_sha256`` and, ``with_text``, ``kept`` (the text that is left) of every document.
 
     A word goes if a window of ``window`` words that covers it occurs earlier: in a document with a smaller key, or in
     the same one further on. The first occurrence stays. Windows are judged on the input.
 
-    Null text has no words. Rows with the same key are put in the order of their texts' hashes; equal rows in any. A
-    null key comes before all others. An empty table gives no rows. Other columns are ignored.
+    Null text has no words. Rows with the same key are put in the order of their texts' hashes; equal rows in any. Null
+    keys come before all others, in that order too (keys under -2**62 aren't taken). An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -147,8 +191,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     segments = max(1, -(-size // segment_bytes))
     ranges = max(1, -(-size // (5 * RANGE_HASHES)))
     buckets = min(segments, 4096)
-    order = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
-    rows = docs.select(order.alias("doc_id"), F.col(key).isNull().alias("no_key"), F.xxhash64(text).alias("copy"), F.pmod(F.xxhash64(key, text), F.lit(segments)).cast("int").alias("seg"), F.col(text).alias("text"))
+    copy = F.xxhash64(text)
+    # rows of one key share a segment, so that their order is known there; rows without spread by text
+    order = F.coalesce(F.col(key).cast("bigint"), F.shiftrightunsigned(copy, 2).bitwiseOR(F.lit(-(1 << 63))))
+    rows = docs.select(order.alias("doc_id"), copy.alias("copy"), F.col(text).alias("text")).withColumn("seg", F.pmod(F.xxhash64("doc_id"), F.lit(segments)).cast("int"))
     path = workspace(spark, "segments")
     table = "segments_" + path.rsplit("-", 1)[-1]
     # texts are written once by segment: the later steps read them without a shuffle
@@ -177,7 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         good = hs[start[block & twice]]
         out = []
         for seg, (own, _) in zip(pdf["seg"], parts, strict=True):
-            found = own[np.isin(own, good, assume_unique=True)] if len(good) else own[:0]
+            found = own[among(own, good)]
             if len(found):
                 out.append((int(seg), _pack(found)))
         return pd.DataFrame(out, columns=["seg", "data"])
@@ -187,97 +233,78 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         if not len(left) or not len(right):
             return pd.DataFrame([], columns=columns)
         seg = Segment(left, window)
-        a, b, place = _candidates(seg, right)
+        found = np.concatenate([_unpack(d, np.uint64)[0] for d in right["data"]])
+        h, place, _ = seg.blocks()
+        place = seg.around(place[among(h, found)])
+        a, b = (x[place] for x in seg.digests())
         order = np.lexsort((place, b, a))
         a, b, place = a[order], b[order], place[order]
         start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
         many = (np.diff(np.r_[start, len(a)]) > 1).astype(np.uint8)
         a, b, place = a[start], b[start], place[start]
-        doc = np.searchsorted(seg.first, place, "right") - 1
-        key_of, copy_of = np.array(seg.keys, np.int64)[doc], np.array(seg.copies, np.int64)[doc]
-        at = (place - seg.first[doc]).astype(np.uint32)
-        return pd.DataFrame([(k, int(left["seg"].iloc[0]), _pack(a[s], b[s], key_of[s], copy_of[s], at[s], many[s])) for k, s in _ranges(a, 64, ranges)], columns=columns)
+        key_of, at = seg.key[place], seg.order[place]
+        return pd.DataFrame([(k, int(left["seg"].iloc[0]), _pack(a[s], b[s], key_of[s], at[s], many[s])) for k, s in _ranges(a, 64, ranges)], columns=columns)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         """Windows that occur twice, told to each segment that has them: does it hold the first?"""
-        parts = [_unpack(d, np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint8) for d in pdf["data"]]
-        a, b, key_of, copy_of, at, many = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        parts = [_unpack(d, np.uint64, np.uint32, np.int64, np.int64, np.uint8) for d in pdf["data"]]
+        a, b, key_of, at, many = (np.concatenate([p[i] for p in parts]) for i in range(5))
         source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order = np.lexsort((at, copy_of, key_of, b, a))
+        order = np.lexsort((at, key_of, b, a))
         a, b, source, many = a[order], b[order], source[order], many[order]
         start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         count = np.diff(np.r_[start, len(a)])
         lead = np.zeros(len(a), np.uint8)
         lead[start] = 1
         again = (np.repeat(count, count) > 1) | (many > 0)
-        out = []
+        out, own = [], np.flatnonzero(again)
+        own = own[np.argsort(source[own], kind="stable")]
+        cuts = np.searchsorted(source[own], np.arange(len(parts) + 1))
         for k, seg in enumerate(pdf["seg"]):
-            own = np.flatnonzero((source == k) & again)
-            if len(own):
-                out.append((int(seg), _pack(a[own], b[own], lead[own])))
+            s = own[cuts[k] : cuts[k + 1]]
+            if len(s):
+                out.append((int(seg), _pack(a[s], b[s], lead[s])))
         return pd.DataFrame(out, columns=["seg", "data"])
 
     def mark(left: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
-        columns = ["doc_id", "no_key", "n_words", "n_removed", "kept_sha256", "kept"]
+        columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
         if not len(left):
             return pd.DataFrame([], columns=columns)
         seg = Segment(left, window)
-        gone = np.zeros(int(seg.first[-1]) + 1, np.int64)
+        gone = np.zeros(int(seg.first[-1]) + 1, np.int32)
         if len(hits):
-            parts = [_unpack(d, np.uint64, np.uint64, np.uint8) for d in hits["data"]]
-            ta, tb, lead = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            a, b, place = _windows_of(seg, ta)
-            order = np.lexsort((place, b, a))
-            a, b, place = a[order], b[order], place[order]
-            told = np.lexsort((tb, ta))
-            both = np.zeros(len(ta), [("a", np.uint64), ("b", np.uint64)])
-            both["a"], both["b"], lead = ta[told], tb[told], lead[told]
-            mine = np.zeros(len(a), both.dtype)
-            mine["a"], mine["b"] = a, b
-            at = np.minimum(np.searchsorted(both, mine), len(both) - 1)
-            known = both[at] == mine
-            new = np.r_[True, mine[1:] != mine[:-1]] if len(mine) else np.zeros(0, bool)
+            parts = [_unpack(d, np.uint64, np.uint32, np.uint8) for d in hits["data"]]
+            told_a, told_b, lead = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            order = np.argsort(told_a)
+            told_a, told_b, lead = told_a[order], told_b[order], lead[order]
+            a, b = seg.digests()
+            place = np.flatnonzero(seg.left >= window)
+            place = place[among(a[place], told_a)]
+            order = np.lexsort((place, a[place]))
+            place = place[order]
+            a, b = a[place], b[place]
+            at = np.searchsorted(told_a, a)
+            known = told_b[at] == b
+            new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
             repeat = place[known & ~(new & (lead[at] == 1))]
             np.add.at(gone, repeat, 1)
             np.add.at(gone, repeat + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
-        missing = dict(zip(zip(left["doc_id"], left["copy"], strict=True), left["no_key"], strict=True))
         out = []
-        for key_of, copy_of, words, f, n in zip(seg.keys, seg.copies, seg.words, seg.first, seg.size, strict=False):
+        for key_of, text_of, f, n in zip(seg.keys.tolist(), seg.texts, seg.first.tolist(), seg.size.tolist(), strict=False):
             drop = gone[f : f + n]
-            kept = b" ".join(w for w, d in zip(words, drop, strict=True) if not d) if drop.any() else b" ".join(words)
-            out.append((key_of, bool(missing[key_of, copy_of]), int(n), int(drop.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            removed = int(drop.sum())
+            words = text_of.split()
+            kept = b" ".join(compress(words, (~drop).tolist()) if removed else words)
+            row = (key_of, n, removed, hashlib.sha256(kept).hexdigest())
+            out.append((*row, kept.decode("utf-8", "replace")) if with_text else row)
         return pd.DataFrame(out, columns=columns)
 
     probed = held.groupBy("seg").applyInPandas(probes, "r int, seg int, data binary")
     met = probed.groupBy("r").applyInPandas(meet, "seg int, data binary")
     extended = held.groupBy("seg").cogroup(met.groupBy("seg")).applyInPandas(extend, "r int, seg int, data binary")
     judged = extended.groupBy("r").applyInPandas(first, "seg int, data binary")
-    out = held.groupBy("seg").cogroup(judged.groupBy("seg")).applyInPandas(mark, "doc_id bigint, no_key boolean, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
-    return out.select(F.when(~F.col("no_key"), F.col("doc_id")).alias(key), "n_words", "n_removed", "kept_sha256", "kept")
-
-
-def _candidates(seg: Segment, hits: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = np.concatenate([_unpack(d, np.uint64)[0] for d in hits["data"]])
-    h, place, _ = seg.blocks()
-    return seg.windows(place[np.isin(h, found)])
-
-
-def _windows_of(seg: Segment, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both digests and places of the windows whose first digest is given."""
-    digests = np.unique(digests)
-    a, b, place = [], [], []
-    for h, f in zip(seg.hashes, seg.first, strict=False):
-        d = rolling(h, seg.window, 0x9E3779B97F4A7C15)
-        if len(d):
-            k = np.minimum(np.searchsorted(digests, d), len(digests) - 1)
-            own = np.flatnonzero(digests[k] == d)
-            if len(own):
-                a.append(d[own])
-                b.append(rolling(h, seg.window, 0xC2B2AE3D27D4EB4F)[own])
-                place.append(own + f)
-    if not a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(a), np.concatenate(b), np.concatenate(place)
+    out = held.groupBy("seg").cogroup(judged.groupBy("seg")).applyInPandas(mark, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= -(1 << 62), F.col("doc_id"))).withColumnRenamed("doc_id", key)
