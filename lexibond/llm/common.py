@@ -2,7 +2,6 @@
 
 import re
 import uuid
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,20 +106,12 @@ for _bytes, _class in (
 _CLASS = bytes(_CLASS)
 
 
-def _classes(text: bytes) -> np.ndarray:
-    return np.frombuffer(text.translate(_CLASS), np.uint8)
-
-
-def _cut_marks(text: bytes, kind: np.ndarray, mark: bytes) -> bytes:
+def _cut_marks(text: bytes, kind: bytes, mark: bytes) -> bytes:
     """Set full stops and commas that end a word apart, if all of them follow an ASCII letter or digit or a Latin-1 letter."""
-    at = np.flatnonzero((kind[:-1] == 4) & (kind[1:] == 8))
-    if not len(at) or at[0] == 0:
-        return text
-    before = kind[at - 1]
-    if not ((before == 1) | ((before == 2) & (kind[at - 2] == 64) & (at > 1))).all():
-        return text
-    for x in (b". ", b", ", b".\n", b",\n"):
-        text = text.replace(x, b" " + mark + x)
+    n = kind.count(b"\x04\x08")
+    if n and n == kind.count(b"\x01\x04\x08") + kind.count(b"\x40\x02\x04\x08"):
+        for x in (b". ", b", ", b".\n", b",\n"):
+            text = text.replace(x, b" " + mark + x)
     return text
 
 
@@ -132,10 +123,10 @@ def spaced_pieces(text: bytes) -> list[bytes]:
     space with ASCII would be cut within; such a text stays whole. The pieces are keys: a first byte 0 stands for a
     line end, 1 for nothing, 2 for a piece that is given as it is, and none of these for a space.
     """
-    kind = _classes(text)
-    if (kind == 32).any() and any(x in text for x in _WIDE) and _MIXED.search(text):
+    kind = text.translate(_CLASS)
+    if b"\x20" in kind and any(x in text for x in _WIDE) and _MIXED.search(text):
         return [b"\x02" + text]
-    if (kind == 16).any() or ((kind[:-1] == 8) & (kind[1:] == 8)).any():
+    if b"\x10" in kind or b"\x08\x08" in kind:
         return [b"\x02" + x for x in _SPACED.findall(text)]
     return (b"\x01" + _cut_marks(text, kind, b"\x01").replace(b"\n", b" \x00")).split(b" ")
 
@@ -145,10 +136,10 @@ def space_dropped_pieces(text: bytes) -> list[bytes]:
 
     Special tokens' names are in lower case and hold '<|': where that occurs, letters stay as they are.
     """
-    kind = _classes(text)
+    kind = text.translate(_CLASS)
     if b"<|" in text:
         return [b"\x02" + x for x in text.split()]
-    if (kind == 16).any():
+    if b"\x10" in kind:
         return [b"\x02" + x for x in text.lower().split()]
     return _cut_marks(text.lower(), kind, b"").split()
 
@@ -178,39 +169,46 @@ class Pieces:
         self.tokenizer.model._resize_cache(0)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        between = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
-        self.between = between[1] if len(between) == 3 else None
-
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as bytes.
-
-        Pieces of letters and marks are encoded many at a time, with line ends between: where the vocabulary keeps a
-        lone line end as one id, that id parts them again. A group that doesn't come out in as many parts, like
-        pieces that hold white space themselves, is encoded piece by piece.
+        self.separator, self.between = self._separator()
+
+    def _separator(self) -> tuple[str, int | None]:
+        """A text that parts pieces without a change to their ids, and its one id: a line end or else a special token."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        for x in ("\n", *(str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)):
+            own = ids(f"a{x}b")
+            if len(own) == 3 and own[::2] == [*ids("a"), *ids("b")] and (x == "\n" or x.startswith("<|")):
+                return x, own[1]
+        return "", None
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encode pieces and keep their values.
+
+        Pieces of letters and marks are encoded many at a time, with a separator between whose id parts them again. A
+        group that doesn't come out in as many parts, and pieces that hold white space, are encoded piece by piece.
         """
-        out: dict[bytes, bytes] = {}
         alone = [p for p in pieces if p[:1] in (b"\x00", b"\x02", b"")] if self.between is not None else list(pieces)
         if len(alone) < len(pieces):
             others = set(alone)
-            rest = [p for p in pieces if p not in others]
+            rest = [p for p in pieces if p not in others] if alone else pieces
+            separator = self.separator.encode()
             groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
-            texts = [b"\n".join(map(plain, g)) for g in groups]
-            plainly = [not any(x in t for x in _WIDE) and b"<|" not in t for t in texts]
-            texts = [t.decode("utf-8", "replace") for t in texts]
-            for g, e, ok in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), plainly, strict=True):
+            texts = [separator.join(map(plain, g)) for g in groups]
+            plainly = [not any(x in t for x in _WIDE) and t.count(b"<|") == (len(g) - 1) * separator.count(b"<|") for t, g in zip(texts, groups, strict=True)]
+            for g, e, ok in zip(groups, self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False), plainly, strict=True):
                 ids = np.array(e.ids, "<u4")
                 cuts = np.flatnonzero(ids == self.between)
-                if not ok or len(cuts) != len(g) - 1:
+                if ok and len(cuts) == len(g) - 1:
+                    self.known.update(zip(g, self.parts(ids, np.r_[0, cuts + 1], np.r_[cuts, len(ids)]), strict=True))
+                else:
                     alone += g
-                    continue
-                data = ids.tobytes()
-                out.update((p, data[4 * i : 4 * j]) for p, i, j in zip(g, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True))
         for p, e in zip(alone, self.tokenizer.encode_batch_fast([plain(p).decode("utf-8", "replace") for p in alone], add_special_tokens=False), strict=True):
-            out[p] = array("I", e.ids).tobytes()
-        return [out[p] for p in pieces]
+            ids = np.array(e.ids, "<u4")
+            self.known[p] = self.parts(ids, np.array([0]), np.array([len(ids)]))[0]
 
-    def value(self, ids: bytes):
-        return ids
+    def parts(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list:
+        """The values of stretches of ids."""
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip((4 * start).tolist(), (4 * end).tolist(), strict=True)]
 
     def values(self, texts: list[bytes]) -> Iterator[Iterator]:
         """Each text's pieces as values, a few texts at a time, so that their pieces stay in the processor's cache."""
@@ -222,9 +220,9 @@ class Pieces:
                 missing = set()
                 for p in group:
                     missing.update(p)
-                missing = [p for p in missing if p not in self.known]
+                missing = list(missing.difference(self.known))  # looks each piece up once, in C
                 if missing:
-                    self.known.update(zip(missing, map(self.value, self.encode(missing)), strict=True))
+                    self.learn(missing)
                 get = self.known.__getitem__
                 for p in group:
                     yield map(get, p)

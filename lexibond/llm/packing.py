@@ -13,7 +13,7 @@ from lexibond.llm.common import pieces_of, small_batches, spaced_pieces
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 2048, 256, 2048
 #: Items that wait at a time; a sequence is filled from these.
-WINDOW = 512
+WINDOW = 256
 
 
 class Packer:
@@ -72,14 +72,16 @@ class Packer:
 
     def _fill(self) -> list:
         left, out = self.limits.copy(), []
-        while self.items and left.min() >= 0:
+        weights = 1 / self.limits**2
+        while self.items:
             need = self.need[: len(self.items)]
-            fits = np.flatnonzero((need <= left).all(axis=1))
-            if not len(fits):
+            score = need @ (left * weights)
+            score[(need > left).any(axis=1)] = -1
+            k = int(score.argmax())
+            if score[k] < 0:
                 break
-            k = fits[int(np.argmax((need[fits] / self.limits) @ (left / self.limits)))]
             left -= self.need[k]
-            out.append(self._pop(int(k)))
+            out.append(self._pop(k))
         if self.cut and self.items and left[0] > 0 and left[1] >= 1:
             k = int(np.argmax(self.need[: len(self.items), 0]))
             item, room = self.items[k], int(left[0])

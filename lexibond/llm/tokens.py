@@ -20,8 +20,8 @@ class Lengths(Pieces):
 
     frequent: dict = {}
 
-    def value(self, ids: bytes):
-        return len(ids) // 4
+    def parts(self, ids, start, end) -> list[int]:
+        return (end - start).tolist()
 
     def trim(self) -> None:
         if len(self.known) > self.limit:
@@ -74,7 +74,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
     spark: SparkSession = docs.sparkSession
     cut = space_dropped_pieces if drops_space else spaced_pieces
     words = frequent_pieces(docs, cut, text)
-    sizes = [len(x) // 4 for x in Lengths(path, cut).encode(words)] if words else []
+    own = Lengths(path, cut)
+    own.learn(words)
+    sizes = [own.known[w] for w in words]
     packed = spark.sparkContext.broadcast((b"\xff".join(words), sizes))  # no UTF-8 text holds that byte
 
     def make():
