@@ -16,6 +16,8 @@ BUCKETS, MIN_DOCS, PREFIX = 1 << 24, 4, 5
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
 DIMENSIONS, FILTERS, WIDTHS = 16, 12, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 8, 48, 0.01, 1e-5
+#: A small sample is gone through more often, for so many steps at least.
+STEPS = 300
 CHUNK = 1 << 15
 
 #: Frequent words that tell the language of a text.
@@ -66,7 +68,10 @@ def guess(codes: np.ndarray) -> int:
 
 @dataclass
 class Model:
-    """A trained classifier. ``buckets``: those with an embedding, ascending; row 0 is for all others."""
+    """A trained classifier. ``buckets``: those with an embedding, ascending; row 0 is for all others.
+
+    ``base``: the share of label 1, which a text without words takes for its score.
+    """
 
     buckets: np.ndarray
     embed: np.ndarray
@@ -74,6 +79,7 @@ class Model:
     bias: np.ndarray
     out: np.ndarray
     shift: np.ndarray
+    base: float = 0.5
 
 
     def _row(self, b: np.ndarray) -> np.ndarray:
@@ -109,6 +115,8 @@ class Model:
         return np.maximum(best.ravel() + self.bias, 0) if len(rows) >= max(WIDTHS) else np.zeros(len(self.bias), np.float32)
 
     def score(self, codes: np.ndarray, tables: list) -> float:
+        if not len(codes):
+            return self.base
         z = float(self.pooled(self.rows(codes), tables) @ self.out[:-1] + self.out[-1]) - self.shift[guess(codes)]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -128,6 +136,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     model = Model(buckets, rng.normal(0, 0.02, (len(buckets) + 1, DIMENSIONS)).astype(f32), [rng.normal(0, 0.3, (w, DIMENSIONS, FILTERS)).astype(f32) for w in WIDTHS], np.zeros(width, f32), rng.normal(0, 0.3, width + 1).astype(f32), np.zeros(len(LANGUAGES) + 1))
     model.embed[0] = 0
     share = labels.mean() if len(labels) else 0.5
+    model.base = float(share)
     if len(set(labels[fit].tolist())) < 2:
         model.out[:] = 0
         model.out[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
@@ -137,8 +146,9 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     params = [model.embed, *model.filters, model.bias, model.out]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, STEPS * BATCH // len(fit))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(fit), BATCH):
             batch = fit[at : at + BATCH]
             grads = [np.zeros_like(p) for p in params]
