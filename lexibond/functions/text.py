@@ -15,10 +15,11 @@ def clean_token(token: Column) -> Column:
     In this order: trim characters up to U+0020, cut a part-of-speech tag at the first underscore
     (not at index 0), strip all but letters and digits from both ends, lower-case.
     """
+    plain = token.rlike(r"^[\p{Ll}\p{N}]+\z")  # most tokens of running text: nothing to do
     t = F.regexp_replace(F.coalesce(token, F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     t = F.regexp_replace(t, r"(?s)^([^_]+)_.*$", "$1")
     t = F.regexp_replace(t, r"^[^\p{L}\p{N}]+", "")
-    return F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]+$", ""))
+    return F.when(plain, token).otherwise(F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]+$", "")))
 
 
 def decade(year: Column) -> Column:

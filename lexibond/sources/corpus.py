@@ -12,14 +12,20 @@ def _tokens(df: DataFrame, lang: Column, year: Column, text: Column) -> DataFram
     return df.select(lang.alias("lang"), decade(year).alias("decade"), toks.alias("toks"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores, if their source has fewer splits than there are cores; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_tokens(documents: DataFrame) -> DataFrame:
     """Tokens of ``documents``; these have no year, 1900 + doc_id % 100 stands for it."""
-    return _tokens(documents, F.col("lang"), (F.lit(1900) + F.col("doc_id") % 100).cast("int"), F.col("text"))
+    return _tokens(spread(documents), F.col("lang"), (F.lit(1900) + F.col("doc_id") % 100).cast("int"), F.col("text"))
 
 
 def conversation_tokens(conversations: DataFrame) -> DataFrame:
     """Tokens of ``conversations`` by role, in one decade."""
-    return _tokens(conversations, F.col("role"), F.lit(2000), F.col("text"))
+    return _tokens(spread(conversations), F.col("role"), F.lit(2000), F.col("text"))
 
 
 def token_words(tokens: DataFrame) -> DataFrame:
