@@ -4,6 +4,7 @@ The alphabet is words (lower case, punctuation stripped). The CGK walk turns a w
 step j it gives the current word and moves on if a random bit of (j, word) says so. Two sequences that take the same
 bits differ, after that, in about as many places as their edit distance. A repetition samples a few places; a window
 of a document whose words there equal an item's is a candidate, which the edit distance then confirms or refutes.
+Samples start near their window's first word, so windows start all over an item, and a passage is found by any of them.
 """
 
 from collections import defaultdict
@@ -24,6 +25,8 @@ BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 COMMON, FEWEST = 0.02, 8
 _MARKS = ".,;:!?\"'()[]{}<>*_-–—“”‘’«»¿¡…|#%&$"
 _STEPS = 60
+#: Words from one sampled window of an item to the next, at most, and words in a window that starts within an item, at least.
+STRIDE, WINDOW = 12, 8
 
 
 class Symbols:
@@ -50,15 +53,21 @@ def edit_ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     span = np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, np.int64)
     for i, w in enumerate(item, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (text != w))
-        row = np.minimum.accumulate(np.r_[i, new] - span) + span
+        new = row + 1
+        new[0] = i
+        np.minimum(new[1:], row[:-1] + (text != w), out=new[1:])
+        new -= span
+        row = np.minimum.accumulate(new) + span
     return row
 
 
-def verify(item: np.ndarray, text: np.ndarray, near: int, most: int) -> tuple[int, int, int] | None:
-    """``edits, first, end`` of the best stretch around word ``near``, if it takes ``most`` edits or fewer."""
-    lo, hi = max(0, near - len(item)), min(len(text), near + 2 * len(item))
-    if len(set(item.tolist()).difference(text[lo:hi].tolist())) > most:  # each missing word is an edit
+def verify(item: np.ndarray, held: set[int], text: np.ndarray, near: int, most: int) -> tuple[int, int, int] | None:
+    """``edits, first, end`` of the best stretch around word ``near``, if it takes ``most`` edits or fewer.
+
+    ``held`` are the item's distinct words.
+    """
+    lo, hi = max(0, near - len(item) - most), min(len(text), near + 2 * len(item))
+    if len(held.difference(text[lo:hi].tolist())) > most:  # each missing word is an edit
         return None
     cost = edit_ends(item, text[lo:hi])
     end = int(cost.argmin())
@@ -69,6 +78,16 @@ def verify(item: np.ndarray, text: np.ndarray, near: int, most: int) -> tuple[in
     return int(cost[end]), lo + start, lo + end
 
 
+def starts(length: int) -> list[int]:
+    """Where the sampled windows of an item of so many words start.
+
+    Four at least, if they fit, and one every ``STRIDE`` words: edits at the head leave a window whole, and edits up to a
+    fifth of the words can't spoil the first words of all windows of a long item.
+    """
+    last = max(0, length - WINDOW)
+    return sorted({*range(0, last + 1, max(1, min(STRIDE, -(-length // 4)))), last})
+
+
 def folded(keys: list[np.ndarray]) -> np.ndarray:
     """One 64-bit number for the words of a sample."""
     out = keys[0]
@@ -84,22 +103,24 @@ class Lookup:
         self.keys = np.array(sorted(by), np.uint64)
         self.items = [by[int(k)] for k in self.keys]
 
-    def get(self, at: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        if len(keys) and len(self.keys):
-            k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            for i in np.flatnonzero(self.keys[k] == keys):
-                yield int(at[i]), self.items[k[i]]
+    def get(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        if not len(keys) or not len(self.keys):
+            return at[:0], []
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[k] == keys
+        return at[found], [self.items[i] for i in k[found].tolist()]
 
 
 class Index:
-    """The items' samples, by repetition and class of length."""
+    """The samples of the items' windows, by repetition and class of length."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], seed: int = 11) -> None:
         self.items = [(k, w) for k, w in items if len(w)]
+        self.held = [set(w.tolist()) for _, w in self.items]
         rng = np.random.default_rng(seed)
         seen: dict = defaultdict(int)
-        for _, w in self.items:
-            for x in set(w.tolist()):
+        for held in self.held:
+            for x in held:
                 seen[x] += 1
         common = np.array(sorted(x for x, n in seen.items() if n > COMMON * len(self.items)), np.uint64)
         self.mix = [int(x) | 1 for x in rng.integers(1, 1 << 63, REPETITIONS)]
@@ -116,36 +137,39 @@ class Index:
                 for n in members:
                     w = self.items[n][1]
                     own = w[~np.isin(w, drop)] if bare else w
-                    classes[len(own).bit_length()].append((n, own))
+                    for o in starts(len(own)):
+                        classes[(len(own) - o).bit_length()].append((n, own[o:]))
                 self.streams.append((drop, [self._samples(list(classes.values()), r, firsts[r], rng) for r in range(REPETITIONS)]))
 
     def _samples(self, classes: list, r: int, first: int, rng) -> list:
-        """By first sampled step: a table of the items' words there, and the samples of each class of lengths.
+        """By first sampled step: a table of the windows' words there, and the samples of each class of lengths.
 
-        Steps stay within the shortest item of a class. Nearly all classes share their first step, so that one look-up
+        Steps stay within the shortest window of a class. Nearly all classes share their first step, so that one look-up
         settles it for all of them.
         """
-        by_first, low = defaultdict(list), defaultdict(list)
+        by_first = defaultdict(list)
         for own in classes:
             most = max(1, min(_STEPS, int(1.4 * min(len(w) for _, w in own))))
             start = min(first, most - 1)
             rest = rng.choice(np.arange(start + 1, most), min(PLACES - 1, most - start - 1), replace=False)
             steps = sorted([start, *map(int, rest)])
             by = defaultdict(list)
-            for n, w in own:
-                if (key := sample(w, np.zeros(1, np.int64), self.mix[r], 0, steps))[0].size:
-                    by[int(folded(key[1])[0])].append(n)
-                    low[start].append(int(key[1][0][0]) & 0xFFFF)
-            by_first[start].append((steps, Lookup(by)))
+            ends = np.cumsum([len(w) for _, w in own])
+            whole, keys = sample(np.concatenate([w for _, w in own]), np.r_[0, ends[:-1]], self.mix[r], 0, steps, ends)
+            for k, key in zip(whole.tolist(), folded(keys).tolist(), strict=True):
+                if own[k][0] not in by[key]:
+                    by[key].append(own[k][0])
+            by_first[start].append((steps, Lookup(by), (keys[0] & np.uint64(0xFFFF)).astype(np.intp)))
         out = []
         for start, group in sorted(by_first.items()):
-            table = np.zeros(1 << 16, np.uint8)
-            table[low[start]] = 1
-            out.append((start, table, group))
+            table = np.zeros(1 << 16, np.uint8)  # a bit for each class; those beyond eight share the last
+            for k, (_, _, words) in enumerate(group):
+                table[words] |= np.uint8(1 << min(k, 7))
+            out.append((start, table, [(steps, by) for steps, by, _ in group]))
         return out
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """Places in ``words``, and items whose sample the window that starts there equals."""
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
+        """Places in ``words``, and for each the items with a sample that the window which starts there equals."""
         for drop, repetitions in self.streams:
             kept = np.flatnonzero(~np.isin(words, drop)) if len(drop) else np.arange(len(words))
             w = words[kept]
@@ -159,11 +183,12 @@ class Index:
                     for j in range(at, first):
                         shift += shifted(np.r_[(mixed >> np.uint64(63 - j)).astype(np.uint8) & np.uint8(1), pad], shift, j)
                     at = first
-                    start = np.flatnonzero(shifted(np.r_[table[low], pad], shift, first))
-                    for steps, by in classes if len(start) else ():
-                        own, keys = sample(w, start + shift[start], self.mix[r], first, steps)
-                        for i, found in by.get(kept[start[own]], folded(keys)):
-                            yield i, found
+                    start = np.flatnonzero(shifted(np.r_[(table != 0).view(np.uint8)[low], pad], shift, first))
+                    held = table[low[start + shift[start]]]
+                    for k, (steps, by) in enumerate(classes if len(start) else ()):
+                        here = start[held & np.uint8(1 << min(k, 7)) != 0]
+                        own, keys = sample(w, here + shift[here], self.mix[r], first, steps)
+                        yield by.get(kept[here[own]], folded(keys))
 
 
 def shifted(values: np.ndarray, shift: np.ndarray, most: int) -> np.ndarray:
@@ -175,12 +200,15 @@ def shifted(values: np.ndarray, shift: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def sample(words: np.ndarray, pos: np.ndarray, mix: int, at: int, steps: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Walk from step ``at``, at the places ``pos``: which walks stay within the words, and their words at ``steps``."""
+def sample(words: np.ndarray, pos: np.ndarray, mix: int, at: int, steps: list[int], ends: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Walk from step ``at``, at the places ``pos``: which walks stay within the words, and their words at ``steps``.
+
+    With ``ends``, each walk has to stay before its own end.
+    """
     own, keys = np.arange(len(pos)), []
     for s in steps:
         pos, at = walk(words, pos, mix, at, s), s
-        inside = pos < len(words)
+        inside = pos < (len(words) if ends is None else ends[own])
         own, pos, keys = own[inside], pos[inside], [k[inside] for k in keys]
         keys.append(words[pos])
     return own, keys
@@ -196,20 +224,22 @@ def walk(words: np.ndarray, pos: np.ndarray, mix: int, start: int, stop: int) ->
 
 def _hits(index: Index, texts: list[np.ndarray], edits: float) -> dict[tuple[int, int], tuple[int, int, int]]:
     """Best stretch by places of a text and an item."""
-    bounds = np.cumsum([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
+    bounds = np.cumsum(sizes)
     words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
     tried, best = set(), {}
-    for at, found in index.candidates(words):
-        d = int(np.searchsorted(bounds, at, "right"))
-        first = int(bounds[d] - len(texts[d]))
-        for n in found:
-            item = index.items[n][1]
-            mark = (d, n, (at - first) // max(4, len(item) // 4))
-            if mark not in tried:
-                tried.add(mark)
-                hit = verify(item, texts[d], at - first, int(edits * len(item)))
-                if hit is not None and ((d, n) not in best or hit < best[d, n]):
-                    best[d, n] = hit
+    for places, items in index.candidates(words):
+        owner = np.searchsorted(bounds, places, "right")
+        own = places - bounds[owner] + sizes[owner]
+        for d, at, found in zip(owner.tolist(), own.tolist(), items, strict=True):
+            for n in found:
+                item = index.items[n][1]
+                mark = (d, n, at // max(4, len(item) // 4))
+                if mark not in tried:
+                    tried.add(mark)
+                    hit = verify(item, index.held[n], texts[d], at, int(edits * len(item)))
+                    if hit is not None and ((d, n) not in best or hit < best[d, n]):
+                        best[d, n] = hit
     return best
 
 

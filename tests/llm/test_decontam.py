@@ -73,6 +73,24 @@ def test_planted(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(300)) - {d for d, _ in got}
 
 
+def test_edits_in_one_place():
+    rng = random.Random(10)
+    for length in (20, 50, 120):
+        items = [words(rng, length) for _ in range(60)]
+        own = decontam.Symbols()
+        codes = [own.of(" ".join(w).encode()) for w in items]
+        index, n = decontam.Index(list(enumerate(codes))), length // 5
+        new = [f"new{i}" for i in range(n)]
+        middle = (length - n) // 2
+        for how in (
+            lambda w: w[n:], lambda w: new + w[n:], lambda w: w[:1] + new + w[1:], lambda w: w[:middle] + new + w[middle + n :], lambda w: w[:-n] + new, lambda w: w[:-n],
+            lambda w: edited(rng, w, n),
+        ):
+            texts = [own.of(" ".join(how(w)).encode()) for w in items]
+            found = decontam._hits(index, texts, decontam.EDITS)
+            assert sum((i, i) in found for i in range(60)) >= 0.97 * 60
+
+
 def test_blocks_and_edges(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, " ".join(words(rng, 30)), None) for i in range(7)] + [(90, None, None), (91, "...", None), (None, "alpha beta gamma delta", None), (92, "short one", None)]
