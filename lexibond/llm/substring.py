@@ -1,9 +1,10 @@
 """Repeated passages: fixed-block anchors, rolling probes, extension to maximal exact repeats.
 
-Words are numbers (64-bit hashes). Reference blocks are ``window // 2`` consecutive words at multiples of
+Words are numbers (64 bits of a keyed BLAKE2b). Reference blocks are ``window // 2`` consecutive words at multiples of
 that length: every window holds one whole. All documents' blocks are indexed; every rolling position probes that index.
-A hit that isn't a block's meeting with itself is extended: the windows around it are compared by 128-bit digest, and
-those that start earlier elsewhere mark their words. Overlapping windows together are the maximal repeat.
+A hit that isn't a block's meeting with itself is extended: the windows around it are compared by a 128-bit BLAKE2b
+digest of their very words, and those that start earlier elsewhere mark their words. Overlapping windows together are the
+maximal repeat. The numbers of words and blocks only find candidates; what is removed rests on the digests of the texts.
 
 Texts are dealt to segments once. Between the steps only sorted hashes travel, packed by segment and hash range and each
 hash once a segment, so neither a passage that a third of all documents share nor one repeated word makes a large group.
@@ -11,6 +12,7 @@ hash once a segment, so neither a passage that a third of all documents share no
 
 import struct
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -26,43 +28,20 @@ WINDOW = 20
 SEGMENT_BYTES, RANGE_HASHES = 6 << 20, 3_000_000
 #: Bits of a block hash that travel; a chance meeting of two only costs an extension that finds nothing.
 BITS = 48
+#: Words whose numbers a worker holds.
+HELD = 500_000
 
-#: Text bytes whose words are hashed at a time.
-CHUNK = 1 << 20
-_RATIO = 0x2545F4914F6CDD1D
-_LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
-_SPACE = bytes(int(x in b" \t\n\x0b\x0c\r") for x in range(256))
+_numbers: dict[bytes, int] = {}
 
 
-def _powers(ratio: int, n: int) -> np.ndarray:
-    out = np.full(n, ratio, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes and 64-bit hashes of the words of a text that ends in white space.
-
-    A word's hash is a polynomial over random numbers of its bytes; all words of a chunk are cut out of one running sum.
-    """
-    starts, hashes, at = [], [], 0
-    up = down = np.zeros(0, np.uint64)
-    while at < len(text):
-        end = at + CHUNK
-        while end < len(text) and text[end - 1] not in b" \t\n\x0b\x0c\r":
-            end += 1
-        part = text[at:end]
-        if len(up) < len(part):
-            up, down = _powers(_RATIO, len(part)), _powers(pow(_RATIO, -1, 1 << 64), len(part))
-        space = np.frombuffer(part.translate(_SPACE), np.uint8)
-        edge = np.flatnonzero(np.diff(space, prepend=1))
-        first, last = edge[0::2], edge[1::2]
-        total = np.cumsum(_LETTERS[np.frombuffer(part, np.uint8)] * up[: len(part)], dtype=np.uint64)
-        total = np.r_[np.uint64(0), total]
-        starts.append(first + at)
-        hashes.append(_mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
-        at = end
-    return np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+def word_numbers(words: list[bytes]) -> np.ndarray:
+    """64-bit numbers of words; a word's bytes can't be chosen so that they meet another's but by search."""
+    for w in set(words).difference(_numbers):
+        _numbers[w] = int.from_bytes(blake2b(w, digest_size=8, key=b"words").digest(), "little")
+    out = np.fromiter(map(_numbers.__getitem__, words), np.uint64, len(words))
+    if len(_numbers) > HELD:
+        _numbers.clear()
+    return out
 
 
 def among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -123,24 +102,22 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
 
 
 class Segment:
-    """The documents of a segment in order of key, their words one after the other."""
+    """The documents of a segment in order of key (null first), their words one after the other."""
 
     def __init__(self, rows: pd.DataFrame, window: int) -> None:
-        rows = rows.sort_values(["doc_id", "copy"], kind="stable")
-        self.keys = rows["doc_id"].to_numpy(np.int64)
-        self.texts = [(t or "").encode() for t in rows["text"]]
+        rows = rows.sort_values(["known", "doc_id", "copy"], kind="stable")
+        self.known, self.keys = rows["known"].to_numpy(np.uint8), rows["doc_id"].to_numpy(np.int64)
         self.window = window
-        ends = np.cumsum([len(t) + 1 for t in self.texts])
-        starts, self.hashes = word_hashes(b"\n".join(self.texts) + b"\n")
-        doc = np.searchsorted(ends, starts, "right")
-        self.size = np.bincount(doc, minlength=len(self.texts)).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-        #: Words from each place to the end of its document, and to it from its start and from that of its key's first row.
-        self.left = self.first[doc + 1] - np.arange(len(doc))
-        self.at = np.arange(len(doc)) - self.first[doc]
-        self.key = self.keys[doc]
-        same = np.searchsorted(self.keys, self.keys, "left")
-        self.order = np.arange(len(doc)) - self.first[same][doc]
+        split = [(t or "").encode().split() for t in rows["text"]]
+        self.size = np.fromiter(map(len, split), np.int64, len(split))
+        self.words = [w for ws in split for w in ws]
+        self.hashes = word_numbers(self.words)
+        self.first = np.r_[0, np.cumsum(self.size)]
+        doc, place = np.repeat(np.arange(len(split)), self.size), np.arange(len(self.words))
+        #: Words from each place to the end of its document, and to it from its start.
+        self.left = self.first[doc + 1] - place
+        self.at = place - self.first[doc]
+        self.key, self.has_key = self.keys[doc], self.known[doc]
 
     def _rolling(self, n: int, base: int) -> np.ndarray:
         """A hash at each place where ``n`` words of one document start; elsewhere the number is of no use."""
@@ -163,9 +140,33 @@ class Segment:
         np.add.at(mark, np.minimum(hits + 1, total), -1)
         return np.flatnonzero((np.cumsum(mark)[:total] > 0) & (self.left >= self.window))
 
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of 64 and 32 bits of the window at each place."""
-        return self._rolling(self.window, 0x9E3779B97F4A7C15), (self._rolling(self.window, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
+    def repeats(self, told: np.ndarray) -> np.ndarray:
+        """Further places of windows that hold the same words as one of those at ``told``."""
+        h = self._rolling(self.window, 0x9E3779B97F4A7C15)
+        at = np.flatnonzero(self.left >= self.window)
+        at = np.setdiff1d(at[among(h[at], h[told])], told, assume_unique=True)
+        order = np.argsort(h[told], kind="stable")
+        sorted_h = h[told][order]
+        lo, hi = np.searchsorted(sorted_h, h[at], "left"), np.searchsorted(sorted_h, h[at], "right")
+        number = {w: i for i, w in enumerate(set(self.words))}
+        own = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        out = np.full(len(at), -1)
+        for k in range(int((hi - lo).max(initial=0))):  # once but for a chance meeting of hashes
+            i = np.flatnonzero((out < 0) & (lo + k < hi))
+            which = order[lo[i] + k]
+            same = np.ones(len(i), bool)
+            for j in range(self.window):
+                same &= own[at[i] + j] == own[told[which] + j]
+            out[i[same]] = which[same]
+        return at[out >= 0]
+
+    def digests(self, places: np.ndarray) -> np.ndarray:
+        """The digests, as two numbers, of the words of the windows at ``places``, joined by spaces."""
+        whole = memoryview(b" ".join(self.words))
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
+        starts = np.r_[0, ends[:-1] + 1]
+        out = b"".join([blake2b(whole[i:j], digest_size=16).digest() for i, j in zip(starts[places].tolist(), ends[places + self.window - 1].tolist(), strict=True)])
+        return np.frombuffer(out, "<u8").reshape(-1, 2)
 
 
 def _ranges(h: np.ndarray, bits: int, n: int) -> Iterator[tuple[int, slice]]:
@@ -182,8 +183,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     A word goes if a window of ``window`` words that covers it occurs earlier: in a document with a smaller key, or in
     the same one further on. The first occurrence stays. Windows are judged on the input.
 
-    Null text has no words. Rows with the same key are put in the order of their texts' hashes; equal rows in any. Null
-    keys come before all others, in that order too (keys under -2**62 aren't taken). An empty table gives no rows. Other columns are ignored.
+    Null text has no words. Rows with the same key, and rows without one, which come before all others, have an order of
+    their own that depends on their texts' hashes; equal rows come in any. They are dealt out by key and text, so a key
+    that many rows share isn't a large segment. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -192,9 +194,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     ranges = max(1, -(-size // (5 * RANGE_HASHES)))
     buckets = min(segments, 4096)
     copy = F.xxhash64(text)
-    # rows of one key share a segment, so that their order is known there; rows without spread by text
-    order = F.coalesce(F.col(key).cast("bigint"), F.shiftrightunsigned(copy, 2).bitwiseOR(F.lit(-(1 << 63))))
-    rows = docs.select(order.alias("doc_id"), copy.alias("copy"), F.col(text).alias("text")).withColumn("seg", F.pmod(F.xxhash64("doc_id"), F.lit(segments)).cast("int"))
+    # windows of one key are ordered by segment, and within one by text
+    has, order = F.col(key).isNotNull().cast("tinyint"), F.coalesce(F.col(key).cast("bigint"), F.lit(0).cast("bigint"))
+    rows = docs.select(has.alias("known"), order.alias("doc_id"), copy.alias("copy"), F.col(text).alias("text"))
+    rows = rows.withColumn("seg", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(segments)).cast("int"))
     path = workspace(spark, "segments")
     table = "segments_" + path.rsplit("-", 1)[-1]
     # texts are written once by segment: the later steps read them without a shuffle
@@ -236,69 +239,57 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         found = np.concatenate([_unpack(d, np.uint64)[0] for d in right["data"]])
         h, place, _ = seg.blocks()
         place = seg.around(place[among(h, found)])
-        a, b = (x[place] for x in seg.digests())
+        a, b = seg.digests(place).T
         order = np.lexsort((place, b, a))
         a, b, place = a[order], b[order], place[order]
         start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
         many = (np.diff(np.r_[start, len(a)]) > 1).astype(np.uint8)
         a, b, place = a[start], b[start], place[start]
-        key_of, at = seg.key[place], seg.order[place]
-        return pd.DataFrame([(k, int(left["seg"].iloc[0]), _pack(a[s], b[s], key_of[s], at[s], many[s])) for k, s in _ranges(a, 64, ranges)], columns=columns)
+        state, key_of = many | seg.has_key[place] << 1, seg.key[place]
+        return pd.DataFrame([(k, int(left["seg"].iloc[0]), _pack(a[s], b[s], key_of[s], place[s], state[s])) for k, s in _ranges(a, 64, ranges)], columns=columns)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         """Windows that occur twice, told to each segment that has them: does it hold the first?"""
-        parts = [_unpack(d, np.uint64, np.uint32, np.int64, np.int64, np.uint8) for d in pdf["data"]]
-        a, b, key_of, at, many = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        parts = [_unpack(d, np.uint64, np.uint64, np.int64, np.int64, np.uint8) for d in pdf["data"]]
+        a, b, key_of, place, state = (np.concatenate([p[i] for p in parts]) for i in range(5))
         source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order = np.lexsort((at, key_of, b, a))
-        a, b, source, many = a[order], b[order], source[order], many[order]
+        order = np.lexsort((place, pdf["seg"].to_numpy()[source], key_of, state >> 1, b, a))
+        a, b, place, source, many = a[order], b[order], place[order], source[order], state[order] & 1
         start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         count = np.diff(np.r_[start, len(a)])
         lead = np.zeros(len(a), np.uint8)
         lead[start] = 1
         again = (np.repeat(count, count) > 1) | (many > 0)
         out, own = [], np.flatnonzero(again)
-        own = own[np.argsort(source[own], kind="stable")]
+        own = own[np.lexsort((place[own], source[own]))]
         cuts = np.searchsorted(source[own], np.arange(len(parts) + 1))
         for k, seg in enumerate(pdf["seg"]):
             s = own[cuts[k] : cuts[k + 1]]
             if len(s):
-                out.append((int(seg), _pack(a[s], b[s], lead[s])))
+                out.append((int(seg), _pack(place[s], lead[s])))
         return pd.DataFrame(out, columns=["seg", "data"])
 
     def mark(left: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
-        columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
+        columns = ["known", "doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
         if not len(left):
             return pd.DataFrame([], columns=columns)
         seg = Segment(left, window)
         gone = np.zeros(int(seg.first[-1]) + 1, np.int32)
         if len(hits):
-            parts = [_unpack(d, np.uint64, np.uint32, np.uint8) for d in hits["data"]]
-            told_a, told_b, lead = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.argsort(told_a)
-            told_a, told_b, lead = told_a[order], told_b[order], lead[order]
-            a, b = seg.digests()
-            place = np.flatnonzero(seg.left >= window)
-            place = place[among(a[place], told_a)]
-            order = np.lexsort((place, a[place]))
-            place = place[order]
-            a, b = a[place], b[place]
-            at = np.searchsorted(told_a, a)
-            known = told_b[at] == b
-            new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
-            repeat = place[known & ~(new & (lead[at] == 1))]
+            parts = [_unpack(d, np.int64, np.uint8) for d in hits["data"]]
+            told, lead = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            repeat = np.r_[told[lead == 0], seg.repeats(told)]
             np.add.at(gone, repeat, 1)
             np.add.at(gone, repeat + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
         out = []
-        for key_of, text_of, f, n in zip(seg.keys.tolist(), seg.texts, seg.first.tolist(), seg.size.tolist(), strict=False):
-            drop = gone[f : f + n]
+        for has_key, key_of, f, n in zip(seg.known.tolist(), seg.keys.tolist(), seg.first.tolist(), seg.size.tolist(), strict=False):
+            drop, words = gone[f : f + n], seg.words[f : f + n]
             removed = int(drop.sum())
-            words = text_of.split()
             kept = b" ".join(compress(words, (~drop).tolist()) if removed else words)
-            row = (key_of, n, removed, hashlib.sha256(kept).hexdigest())
+            row = (has_key, key_of, n, removed, hashlib.sha256(kept).hexdigest())
             out.append((*row, kept.decode("utf-8", "replace")) if with_text else row)
         return pd.DataFrame(out, columns=columns)
 
@@ -306,5 +297,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     met = probed.groupBy("r").applyInPandas(meet, "seg int, data binary")
     extended = held.groupBy("seg").cogroup(met.groupBy("seg")).applyInPandas(extend, "r int, seg int, data binary")
     judged = extended.groupBy("r").applyInPandas(first, "seg int, data binary")
-    out = held.groupBy("seg").cogroup(judged.groupBy("seg")).applyInPandas(mark, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") >= -(1 << 62), F.col("doc_id"))).withColumnRenamed("doc_id", key)
+    out = held.groupBy("seg").cogroup(judged.groupBy("seg")).applyInPandas(mark, "known tinyint, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text)
+    return out.withColumn("doc_id", F.when(F.col("known") == 1, F.col("doc_id"))).drop("known").withColumnRenamed("doc_id", key)

@@ -167,5 +167,34 @@ def test_substring(spark, segment):
 def test_substring_edges(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
     text = " ".join(map(str, range(30)))
-    got = substring.remove_repeats(frame(spark, [(None, text), (1, text), (1, text)])).collect()
-    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("1", 30), ("1", 30), ("None", 0)]
+    got = substring.remove_repeats(frame(spark, [(None, text), (1, text), (1, text), (-(1 << 63), text), (-(1 << 62) - 5, "few words")])).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [(str(-(1 << 62) - 5), 0), (str(-(1 << 63)), 30), ("1", 30), ("1", 30), ("None", 0)]
+
+
+def test_words_of_polynomial_collisions(spark):
+    """The two complementary Thue-Morse words meet in every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = ("".join("xy"[x ^ flip] for x in bits) for flip in (0, 1))
+    head = " ".join(f"w{i}" for i in range(19))
+    got = substring.remove_repeats(frame(spark, [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{head} {a}")])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 20}
+
+
+@pytest.mark.parametrize("segment", [substring.SEGMENT_BYTES, 2000])
+def test_substring_repeated_key(spark, segment):
+    """Rows of one key have some order; each window of theirs stays in one of them."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    shared = text(40)
+    rows = [(5, f"{text(30)} {shared} {text(i)}") for i in range(40)] + [(None, f"{text(9)} {shared}") for _ in range(3)] + [(9, shared)]
+    got = substring.remove_repeats(frame(spark, rows), segment_bytes=segment).collect()
+    removed = sorted(((str(r["doc_id"]), r["n_removed"]) for r in got))
+    assert removed == sorted([("5", 40)] * 40 + [("9", 40)] + [("None", 40)] * 2 + [("None", 0)])
+
+
+def test_local_repeats_are_compared_by_word():
+    import pandas as pd
+
+    rows = pd.DataFrame([(1, 1, 0, "a b c d e a b c d e a b c x e")], columns=["known", "doc_id", "copy", "text"])
+    seg = substring.Segment(rows, 3)
+    assert seg.repeats(np.array([0])).tolist() == [5, 10] and seg.repeats(np.array([1, 2])).tolist() == [6, 7]
