@@ -1,11 +1,14 @@
 """Helpers that several operators share."""
 
+import atexit
+import contextlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,35 +18,118 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
+#: Folders of this process that are still there, with the session each was made by.
+_folders: dict[str, SparkSession] = {}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time, for this session."""
+    """Bound what a Python worker holds at a time: the one setting that all operators share, whichever ran last."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs that run within the block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share; what is there goes when the process ends.
 
-    That is spark.checkpoint.dir; where it's unset, as in tests on one machine, a folder under the warehouse.
+    That is spark.checkpoint.dir. Where it's unset a session on one machine takes a folder under the warehouse; any
+    other is refused, as its executors wouldn't see that folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.unregister(_sweep)
+        atexit.register(_sweep)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _folders[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read back: later steps and retries start from the files."""
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete the files of ``written`` rows that no later step reads."""
+    for df in frames:
+        path = getattr(df, "_folder", None)
+        if path in _folders:
+            remove(_folders.pop(path), path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of ``workspace`` in whatever store it is."""
+    """Delete a path in whatever store it is."""
+    fs, p = _store(spark, path)
+    fs.delete(p, True)
+
+
+def _store(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    fs, p = _store(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, p = _store(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_small(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file, whole or not at all; False if it exists. Atomic where the store's rename is."""
+    fs, p = _store(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    none = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    files = hadoop.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(fs.makeQualified(part), fs.makeQualified(p), none)
+    except Py4JJavaError:
+        fs.delete(part, False)
+        if fs.exists(p):
+            return False
+        raise
+    return True
+
+
+def _sweep() -> None:
+    """Delete what is left when the process ends."""
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        while _folders:
+            path, spark = _folders.popitem()
+            remove(spark, path)
 
 
 def input_bytes(df: DataFrame, column: str = "text") -> int:
@@ -51,6 +137,19 @@ def input_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"]
 
 
+def joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns of numbers, so many rows or a few more at a time."""
+    wait, n = [], 0
+    for b in batches:
+        wait.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield [np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in wait]) for i in range(b.num_columns)]
+            wait, n = [], 0
+    if n:
+        yield [np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in wait]) for i in range(wait[0].num_columns)]
+
+
 def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[], Callable[[list, list[bytes]], dict | None]]) -> DataFrame:
     """Map batches of (key, text as UTF-8; null as empty) to columns of ``schema``.
 

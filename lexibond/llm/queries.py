@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     path = public_tokenizers.path
     return {
         "op1_exact_dedup": lambda s, d: exact.dedup_documents(_docs(s, d)),
+        "dedup_second_batch": lambda s, d: exact.dedup_second_batch(_docs(s, d)),
         "op2_binary_output": lambda s, d: binary.binary_round_trip(_docs(s, d), path("word_bpe_49k.json")),
         "op3_html_extraction": lambda s, d: extraction.extract(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")),
         "op4_decontamination": lambda s, d: decontam.contaminated(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact.ORACLE, "op7_license_scan": licenses.oracle()}
+    return {"op1_exact_dedup": exact.ORACLE, "dedup_second_batch": exact.SECOND_ORACLE, "op7_license_scan": licenses.oracle()}

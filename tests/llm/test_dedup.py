@@ -7,9 +7,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexibond.llm import exact, simhash, substring
-from lexibond.llm.common import workspace
+from lexibond.llm.common import create_small, names, read_small, setting, workspace
 from lexibond.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,13 +45,49 @@ def test_index_lasts(spark):
     first = exact.exact_dedup(frame(spark, [(1, "a"), (2, "b"), (3, "A")]), index)
     assert {r["doc_id"]: r["kept"] for r in first.collect()} == {1: False, 2: True, 3: True}
     index.close()
-    again = exact.DigestIndex(spark, path, 3)
-    new = {r["doc_id"]: (r["kept"], r["keep_id"]) for r in exact.exact_dedup(frame(spark, [(9, "a"), (10, "c"), (11, "B")]), again).collect()}
+    again = exact.DigestIndex(spark.newSession(), path)  # another session, which doesn't know the number of buckets
+    assert again.buckets == 3
+    new = {r["doc_id"]: (r["kept"], r["keep_id"]) for r in exact.exact_dedup(frame(again.spark, [(9, "a"), (10, "c"), (11, "B")]), again).collect()}
     assert new == {9: (False, 3), 10: (True, 10), 11: (False, 2)}
-    assert again.read().count() == 3
-    repeated = exact.exact_dedup(frame(spark, [(10, "c")]), again).first()
+    assert again.read().count() == 3 and len(again.runs) == 2
+    repeated = exact.exact_dedup(frame(again.spark, [(10, "c")]), again).first()
     assert repeated["kept"]  # a batch that is run again changes nothing
-    assert again.read().count() == 3
+    assert again.read().count() == 3 and len(again.runs) == 2
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, path, 24)
+    log = [x for x in names(spark, f"{path}/log") if x.endswith(".json")]
+    assert log == ["00000000.json", "00000001.json"]
+    assert not create_small(spark, f"{path}/log/00000001.json", "other") and "run-" in read_small(spark, f"{path}/log/00000001.json")
+
+
+def test_index_of_two_writers(spark):
+    path = workspace(spark, "index")
+    a, b = exact.DigestIndex(spark, path, 2), exact.DigestIndex(spark, path, 2)
+    exact.exact_dedup(frame(spark, [(1, "a"), (2, "b")]), a)
+    got = exact.exact_dedup(frame(spark, [(5, "b"), (6, "c")]), b)  # b hasn't seen that version
+    assert {r["doc_id"]: r["keep_id"] for r in got.collect()} == {5: 2, 6: 6}
+    assert exact.DigestIndex(spark, path).read().count() == 3
+
+
+def test_index_merges_runs(spark, monkeypatch):
+    monkeypatch.setattr(exact, "RUNS", 2)
+    index = exact.DigestIndex(spark, workspace(spark, "index"))
+    for i in range(4):
+        exact.exact_dedup(frame(spark, [(i, f"text {i}"), (10 + i, "shared")]), index)
+    assert len(index.runs) <= 2 and index.read().count() == 5
+    got = exact.exact_dedup(frame(spark, [(99, "SHARED"), (98, "new")]), index)
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in got.collect()} == {99: (10, False), 98: (98, True)}
+
+
+def test_stored_order_is_used(spark):
+    index = exact.DigestIndex(spark, workspace(spark, "index"), 3)
+    rows = frame(spark, [(i, f"text {i}") for i in range(50)]).select("doc_id", "text")
+    groups = rows.select(exact.digest_of(F.col("text")).alias("digest"), F.col("doc_id").alias("keep_id"))
+    index.add(groups)
+    with setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"), setting(spark, "spark.sql.adaptive.enabled", "false"):
+        new = groups.repartition(3, "digest").join(index._run(index.runs[0]).hint("merge"), "digest", "left_anti")
+        plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Sort [digest") == 1 and plan.count("Exchange") == 1  # of the new side alone
 
 
 def test_distinct_documents(spark):
