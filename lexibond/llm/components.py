@@ -3,12 +3,22 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import written
+from lexibond.llm.common import forget, written
 
+#: A node with more neighbours than this, and than ``SHARE`` of the edges, is a hub; so there are at most 2 / SHARE hubs.
+HUB, SHARE = 100, 1e-5
 
-def _star(edges: DataFrame, least: DataFrame, key: str, other: str) -> DataFrame:
-    """Edges with the least neighbour of ``key``; both sides are shuffled, so a hub's rows can be split."""
-    return edges.hint("merge").join(least, key).select(key, other, "m")
+
+def _star(edges: DataFrame, key: str, other: str, near: DataFrame, count: int) -> DataFrame:
+    """Edges with the least neighbour of ``key``, as ``near`` says with the number of neighbours ``n``.
+
+    Hubs' least neighbours are broadcast, 200,000 rows at most, so that a hub's edges stay where they are.
+    """
+    most = max(HUB, count * SHARE)
+    hubs = F.broadcast(near.where(F.col("n") > most).select(key, F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, key, "left")
+    others = marked.where("hub_m is null").select(key, other).join(near.where(F.col("n") <= most).select(key, "m"), key).select(key, other, "m")
+    return others.unionByName(marked.where("hub_m is not null").select(key, other, F.col("hub_m").alias("m")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps by turns: each links a node's neighbours to the least of them, so the number
     of edges never grows, and a component of any diameter ends as a star after about log steps. Every step is
-    written to the shared folder, which cuts the lineage; only a count and a checksum reach the driver.
+    written to the shared folder, which cuts the lineage, and the step before it deleted; only a count and a checksum
+    reach the driver.
     """
     pair = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = written(edges.where("u <> v").select(*pair("u", "v")).distinct(), "edges")
@@ -25,11 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     while (state := mark(now)) != last and state[0]:
         last = state
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = _star(both.where("b > a"), least, "a", "b").where("b <> m").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _star(large, least, "u", "v")
-        small = small.where("v <> m").select(*pair("v", "m")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = written(small.distinct(), "small-star")
+        near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _star(both.where("b > a"), "a", "b", near, state[0]).where("b <> m").select(F.col("b").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "large-star")
+        near = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _star(large, "u", "v", near, state[0]).where("v <> m").select(*pair("v", "m")).unionByName(near.select("u", F.col("m").alias("v")))
+        before, now = now, written(small.distinct(), "small-star")
+        forget(before, large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import map_text, small_batches, written
+from lexibond.llm.common import joined, map_text, small_batches, written
 from lexibond.llm.components import components
 
 #: Words in a shingle, seed of its hash, and bits by which linked fingerprints may differ.
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Rows of one variant key that one task compares; a larger bucket is dealt out to cells of two blocks.
 BUCKET = 50_000
+#: Rows that a task compares at a time; a bucket that goes on is kept for the next.
+LINK_ROWS = 200_000
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -122,8 +124,7 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         if a and len(a := np.concatenate(a)):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate(b))], ["u", "v"])
 
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    for cols in joined(batches, LINK_ROWS):
         key, cell = np.r_[key, cols[0].astype(np.int64)], np.r_[cell, cols[1]]
         fp, rep = np.r_[fp, cols[2].view(np.uint64)], np.r_[rep, cols[3]]
         if not len(key):
@@ -142,7 +143,6 @@ def fingerprint_links(classes: DataFrame, distance: int = DISTANCE, bucket: int
     hashed to blocks and meet in a cell for each two blocks, so no task gets an unbounded bucket.
     """
     small_batches(classes.sparkSession)
-    classes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
     segs = segments(distance)
     part = lambda lo, hi: F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1)
     wild = lambda value, lo, hi: [F.shiftleft(value.bitwiseAND(~(1 << (p - lo))), 6).bitwiseOR(F.lit(p)) for p in range(lo, hi)]
