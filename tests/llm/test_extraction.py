@@ -1,8 +1,16 @@
-"""Main text of small pages."""
+"""Main text of small pages, against a plain second implementation, and of the test pages."""
+
+import html
+import random
+import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
-from lexibond.llm.extraction import extract, main_text
+from lexibond.llm.extraction import Block, blocks, extract, inherit, main_text
+
+SF = "/root/testdata/sf0.001"
 
 LONG = "The cat sat on the mat and it was good for all of the people in the town."
 MORE = "The dog is in the house of the man and that is the end of it for now, as it is."
@@ -23,7 +31,17 @@ PAGES = {
     f"<article><p><b>{LONG}<br>line</b></article>": f"{LONG} line",
     f'<article data-x="a > b"><p>{LONG}</p></article>': LONG,
     f"<div class=ad><p>{MORE}</p><article><p>{LONG}</p></article>": LONG,
-    f"<article><p>{LONG}</p><p>© someone</p></article>": LONG,
+    f"<article><p>{LONG}</p><p>© someone</p></article>": f"{LONG}\n© someone",
+    f"<p>{LONG}</p><p>{MORE}</p><p>© someone</p>": f"{LONG}\n{MORE}",
+    f"<article><p>{LONG}</p><figure><img src=x><figcaption>A cat.</figcaption></figure><div class=tags>cats, mats</div></article>": f"{LONG}\nA cat.\ncats, mats",
+    f"<div class='layout has-sidebar'><div><p>{LONG}</p><p>{MORE}</p></div><div class=sidebar><p>Of the day.</p></div></div>": f"{LONG}\n{MORE}",
+    f"<form id=f1><nav><a href=x>Home</a></nav><p>{LONG}</p><p>{MORE}</p></form>": f"{LONG}\n{MORE}",
+    f"<div><p>{LONG}</p></div><div class=comments><p>{MORE}</p><p>{MORE} {MORE} {MORE} {MORE} {MORE} {MORE}</p></div>": LONG,
+    f"<article><p>{LONG}</p><p><button>Buy<p>{MORE}</article><p>{MORE}</p>": f"{LONG}\n{MORE}",
+    f"<div><h2>A cat</h2><p>On a mat.</p><p>{LONG}</p><p>So it is.</p><p>End.</p></div><footer>All rights.</footer>": f"A cat\nOn a mat.\n{LONG}\nSo it is.\nEnd.",
+    "<nav><a href=x>Home</a></nav><div><h2>A cat of the house</h2><p>It was on the mat.</p><p>That is all of it, for now.</p></div><footer>All rights.</footer>": "A cat of the house\nIt was on the mat.\nThat is all of it, for now.",
+    f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>": f"{LONG} x=1",
+    "<p>" + "Żółw kroczy powoli przez łąkę pełną kwiatów. " * 3: ("Żółw kroczy powoli przez łąkę pełną kwiatów. " * 3).strip(),
     f"<nav><p>{MORE}</p></nav><p>Hi.</p><div>x</div><p>{LONG}</p>": f"x\n{LONG}",
     "<" * 3000 + "p": "",
 }
@@ -41,3 +59,72 @@ def test_extract(spark):
     assert [r["n_chars"] for r in got] == [0, 0, len(LONG), len(LONG) + 40_000]
     assert got[-1]["text"].count("\n") == 20_000
     assert extract(df.limit(0)).count() == 0
+
+
+def test_page_without_article_element():
+    """Density, length and links find the article where no element names it."""
+    import pyarrow.parquet as pq
+
+    same, pages = 0, pq.read_table(f"{SF}/pages.parquet", columns=["html"])["html"].to_pylist()
+    for page in pages:
+        article = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1])
+        parts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in article]
+        want = "\n".join(x for x in parts if x)
+        assert main_text(page) == want
+        same += main_text(re.sub(r"(</?)article>", r"\1div>", page)) == want
+    assert same >= 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="', "<a href='x", "<!--", "<div>", "<div><b>", "</div>", "<svg>", "<script>", "<textarea>", "&amp", "<", "</", "<p title='", '<a b="c" '])
+def test_broken_pages_take_linear_time(piece):
+    for page in (piece * (1_000_000 // len(piece)), piece * (500_000 // len(piece)) + "</p>" * 125_000):
+        start = time.process_time()
+        main_text(page)
+        assert time.process_time() - start < 5
+
+
+class Plain(HTMLParser):
+    """Blocks by the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.now = [], []
+
+    def end(self):
+        text = " ".join("".join(self.now).split())
+        if text:
+            self.out.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attributes):
+        self.now.append(" ") if tag == "br" else None if tag in ("b", "a") else self.end()
+
+    def handle_endtag(self, tag):
+        None if tag in ("b", "a") else self.end()
+
+    def handle_data(self, data):
+        self.now.append(data)
+
+
+def test_blocks_equal_the_library_parser():
+    rng = random.Random(7)
+    for _ in range(300):
+        page = "".join(rng.choice(["<p>", "</p>", "<div class='x y'>", "</div>", "<b>", "</b>", "<br>", "a &lt; b ", "caf&eacute; ", "&#233;&nbsp;x", "word ", "\n", "<!-- <p>no -->", "<a href='a>b'>", "</a>", "<h2 id=x>", "</h2>", "1 "]) for _ in range(40))
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        plain.end()
+        assert [b.text for b in blocks(page)[0]] == plain.out
+
+
+def test_labels_come_from_the_nearest():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randrange(1, 25)
+        found = [Block(-1, False, rng.randrange(4), label=rng.choice([True, False, None, None, None])) for _ in range(n)]
+        want = []
+        for i, b in enumerate(found):
+            ranks = [(-min(c.gap for c in found[min(i, j) + 1 : max(i, j) + 1]), abs(i - j), not found[j].label) for j in range(n) if found[j].label is not None and j != i and all(c.label is None for c in found[min(i, j) + 1 : max(i, j)])]
+            want.append(b.label if b.label is not None else not min(ranks)[2] if ranks else False)
+        inherit(found)
+        assert [b.label for b in found] == want
