@@ -1,32 +1,26 @@
-"""Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame functions only."""
+"""Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame functions only.
+
+Templates are licence texts, the standard headers and heads of licence files, sentences that name a licence, and SPDX
+tags. A file is one sequence of words: line ends, comment marks and punctuation are none. For each template, windows of
+its length that start every eighth of it are compared, whatever words they hold. Two conditions that every window within the
+cosine meets spare the rest: with unit vectors, a window that lacks the template's heaviest words (so many that their
+squares exceed 1 - cosine²) can't reach the cosine, nor can one whose shared words' squares sum to less than cosine².
+"""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import written
-
-#: Sentences by which files declare their licence.
-TEMPLATES = {
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
-#: A sentence without any of these is none of the templates.
-TRIGGER = r"(?i)licen[cs]e|public domain|permission|redistribution"
-#: Least cosine, and names of files that speak for their directory.
-COSINE = 0.75
+from lexibond.llm.common import forget, written
+from lexibond.llm.licence_texts import templates
+
+#: Least cosine, and what the conditions leave for rounding.
+COSINE, SLACK = 0.75, 1e-3
+#: Windows of a template start every length / ``GRID`` words. Up to ``SAYING`` words a template is a sentence, which
+#: doesn't count if a word that denies it stands within it or up to half its length and ``BEFORE`` words before.
+GRID, SAYING, BEFORE = 8, 16, 3
+DENIES = ("not", "never", "isn", "nor", "neither", "cannot", "unlike", "aren", "wasn")
+#: Names of files that speak for their directory.
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e([._-].*)?$|^copying([._-].*)?$|^notice([._-].*)?$"
-_SENTENCES = r"\n+|(?<=[.!?;])\s+"
 _TOKEN = r"([a-z0-9]+(?:[.-][a-z0-9]+)*)"
 
 
@@ -34,47 +28,80 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 1)
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """``license, template, token, tf``: as many rows as the templates have words."""
-    rows = spark.createDataFrame([(k, f"{k}/{i}", t) for k, v in TEMPLATES.items() for i, t in enumerate(v)], "license string, template string, text string")
-    return rows.select("license", "template", F.explode(_tokens(F.col("text"))).alias("token")).groupBy("license", "template", "token").agg(F.count("*").alias("tf"))
+def _template_words(spark: SparkSession) -> DataFrame:
+    """``license, template, size, token, tf``: as many rows as the templates have words."""
+    rows = spark.createDataFrame(templates(), "license string, template string, text string").withColumn("toks", _tokens(F.col("text")))
+    words = rows.select("license", "template", F.size("toks").alias("size"), F.explode("toks").alias("token"))
+    return words.groupBy("license", "template", "size", "token").agg(F.count("*").alias("tf"))
+
+
+def _literals(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
-def _weights(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, Column]:
+def _weights(files: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, Column]:
     """``token, idf`` of the templates' words over all files, and the weight of any other word.
 
     Each file is cut down to the templates' words before anything is exploded or shuffled.
     """
-    vocabulary = F.array(*(F.lit(r["token"]) for r in templates.select("token").distinct().orderBy("token").collect()))
-    held = files.select(F.explode(F.array_intersect(_tokens(F.col("text")), vocabulary)).alias("token"))
+    known = _literals([r["token"] for r in vocabulary.orderBy("token").collect()])
+    held = files.select(F.explode(F.array_intersect(_tokens(F.col("text")), known)).alias("token"))
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     n = F.lit(files.count())
     idf = lambda d: F.ln((n + 1) / (d + 1)) + 1
-    known = templates.select("token").distinct().join(df, "token", "left")
-    return known.select("token", idf(F.coalesce("df", F.lit(0))).alias("idf")), idf(F.lit(0))
+    return vocabulary.join(df, "token", "left").select("token", idf(F.coalesce("df", F.lit(0))).alias("idf")), idf(F.lit(0))
+
+
+def _unit_vectors(words: DataFrame, weights: DataFrame) -> DataFrame:
+    """``license, template, size, token, w, heavy``: unit vectors; a window without a heavy word is beyond the cosine."""
+    from pyspark.sql import Window
+
+    rows = words.join(F.broadcast(weights), "token").withColumn("w", F.col("tf") * F.col("idf"))
+    rows = rows.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template"))))
+    before = Window.partitionBy("template").orderBy(F.desc(F.round("w", 9)), "token").rowsBetween(Window.unboundedPreceding, -1)
+    heavier = F.coalesce(F.sum(F.col("w") * F.col("w")).over(before), F.lit(0.0))
+    return rows.select("license", "template", "size", "token", "w", (heavier <= 1 - (COSINE - SLACK) ** 2).alias("heavy"))
 
 
 def declared(files: DataFrame) -> DataFrame:
     """``path, license, score``: the best template of each file that has one within ``COSINE``.
 
-    Every sentence of the whole text is compared. Ties go to the smaller licence name.
+    Every window of the whole text is compared. Ties go to the smaller licence name.
     """
     spark = files.sparkSession
-    templates = _templates(spark)
-    weights, other = _weights(files, templates)
+    words = written(_template_words(spark), "template-words")
+    vocabulary = words.select("token").distinct()
+    weights, other = _weights(files, vocabulary)
     weights = written(weights, "idf")  # as many rows as the templates have words: broadcast below
-    ours = templates.join(F.broadcast(weights), "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = ours.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    ours = written(ours.join(norms, "template").select("license", "template", "token", (F.col("w") / F.col("t_norm")).alias("t_w")), "templates")
-    said = files.where(F.col("text").rlike(TRIGGER)).select("path", F.posexplode(F.split("text", _SENTENCES)).alias("n", "said")).where(F.col("said").rlike(TRIGGER))
-    words = said.select("path", "n", F.explode(_tokens(F.col("said"))).alias("token")).groupBy("path", "n", "token").agg(F.count("*").alias("tf"))
-    words = words.join(F.broadcast(weights), "token", "left").select("path", "n", "token", (F.col("tf") * F.coalesce("idf", other)).alias("w"))
-    words = written(words, "sentences")
-    length = words.groupBy("path", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = words.join(F.broadcast(ours), "token").groupBy("path", "n", "license", "template").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    scores = dots.join(length, ["path", "n"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= COSINE)
+    ours = written(_unit_vectors(words, weights), "templates")
+    heavy = _literals([r["token"] for r in ours.where("heavy").select("token").distinct().orderBy("token").collect()])
+    known = _literals([r["token"] for r in vocabulary.orderBy("token").collect()])
+    # files with any heavy word, then pairs of file and template that share enough
+    rows = files.select("path", _tokens(F.col("text")).alias("toks")).where(F.arrays_overlap("toks", heavy))
+    rows = written(rows.withColumn("row", F.expr("uuid()")), "files-with-heavy-words")
+    held = rows.select("row", F.explode(F.array_intersect("toks", known)).alias("token")).join(F.broadcast(ours), "token")
+    share = held.groupBy("row", "template").agg(F.sum(F.col("w") * F.col("w")).alias("share"), F.max("heavy").alias("heavy"))
+    share = written(share.where(F.col("heavy") & (F.col("share") >= (COSINE - SLACK) ** 2)).select("row", "template"), "pairs")
+    lists = ours.groupBy("template").agg(F.first("license").alias("license"), F.first("size").alias("size"), F.collect_list(F.when(F.col("heavy"), F.col("token"))).alias("heavy"), F.collect_list("token").alias("own"))
+    pairs = rows.join(share, "row").join(F.broadcast(lists), "template")
+    step, size = F.greatest(F.lit(1), F.floor(F.col("size") / GRID).cast("int")), F.col("size")
+    cut = lambda s: F.slice("toks", s + 1, size)
+    starts = F.filter(F.sequence(F.lit(0), F.size("toks") - 1, step), lambda s: F.arrays_overlap(cut(s), "heavy"))
+    windows = pairs.select("path", "row", "template", "license", "size", "own", "toks", F.explode(starts).alias("at"))
+    denies = _literals(list(DENIES))
+    first = F.greatest(F.col("at") - BEFORE - F.floor(size / 2).cast("int"), F.lit(0))
+    around = F.slice("toks", first + 1, F.col("at") - first + size)
+    denied = (size <= SAYING) & F.arrays_overlap(around, denies) & ~F.arrays_overlap("own", denies)
+    windows = windows.where(~denied).select("path", "row", "template", "license", "at", F.explode(cut(F.col("at"))).alias("token"))
+    counts = windows.groupBy("path", "row", "template", "license", "at", "token").agg(F.count("*").alias("tf"))
+    counts = counts.join(F.broadcast(weights), "token", "left").join(F.broadcast(ours.select("template", "token", "w")), ["template", "token"], "left")
+    value = F.col("tf") * F.coalesce("idf", other)
+    scores = counts.groupBy("path", "row", "template", "license", "at").agg((F.sum(value * F.coalesce("w", F.lit(0.0))) / F.sqrt(F.sum(value * value))).alias("score"))
+    scores = scores.select("path", "license", F.round("score", 6).alias("score")).where(F.col("score") >= COSINE)
     best = F.min(F.struct((-F.col("score")).alias("s"), "license"))
-    return scores.groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    out = written(scores.groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), "declared")
+    forget(words, weights, ours, rows, share)
+    return out
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -83,14 +110,13 @@ def scan(files: DataFrame) -> DataFrame:
     origin: 'own' if the file declares a licence; 'inherited' from the licence file of the nearest directory above it
     that has one (``license_path``; of several in a directory the smallest path); else 'none'. Inheritance is worked
     out once a directory: directories are made distinct before their ancestors are listed, so a directory that holds a
-    third of all files is one row there.
+    third of all files is one row there. Licences are named by SPDX, without 'only' or 'or later'.
 
-    Null and empty texts declare nothing but can inherit. Files with the same path are one file with all their
-    sentences; a null path inherits nothing and declares nothing. An empty table gives no rows. Other columns are
-    ignored.
+    Null and empty texts declare nothing but can inherit. Files with the same path are one file with the windows of all;
+    a null path inherits nothing and declares nothing. An empty table gives no rows. Other columns are ignored.
     """
     files = files.select("path", "text")
-    own = written(declared(files.where("path is not null")), "declared")
+    own = declared(files.where("path is not null"))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     speaks = own.where(name.rlike(LICENCE_FILE)).select(folder.alias("dir"), F.struct("path", "license", "score").alias("f"))
@@ -100,6 +126,7 @@ def scan(files: DataFrame) -> DataFrame:
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("up")))).alias("a"))
     near = above.select("dir", "a.depth", F.col("a.up").alias("up")).distinct().join(speaks.withColumnRenamed("dir", "up"), "up")
     near = written(near.groupBy("dir").agg(F.max_by("f", "depth").alias("f")), "nearest")
+    forget(speaks)
     rows = files.select("path", folder.alias("dir")).join(own, "path", "left").join(near, "dir", "left")
     inherits = F.col("license").isNull() & F.col("f").isNotNull()
     origin = F.when(F.col("license").isNotNull(), "own").when(inherits, "inherited").otherwise("none")
@@ -123,28 +150,33 @@ def scan_documents(documents: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """SQL of ``scan_documents``."""
+    """SQL of ``scan_documents``; it spares windows by the sum of shared words' squares alone."""
     quoted = lambda t: t.replace("'", "''")
-    values = ", ".join(f"('{k}', '{k}/{i}', '{quoted(t)}')" for k, v in TEMPLATES.items() for i, t in enumerate(v))
+    values = ", ".join(f"('{k}', '{t}', '{quoted(x)}')" for k, t, x in templates())
     token = _TOKEN
     folder = "regexp_replace(path, '/?[^/]*$', '')"
     name = "regexp_extract(path, '([^/]*)$', 1)"
-    trigger = TRIGGER.removeprefix("(?i)")
     licence = LICENCE_FILE.removeprefix("(?i)")
+    denies = "[" + ", ".join(f"'{w}'" for w in DENIES) + "]"
     return f"""WITH files AS (SELECT doc_id, concat_ws('/', CASE WHEN doc_id % 40 = 0 THEN coalesce(source, '') ELSE concat_ws('/', coalesce(source, ''), coalesce(lang, ''), doc_id // 100) END, CASE WHEN doc_id % 20 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path, text FROM documents),
-    tw AS (SELECT license, template, token, count(*) AS tf FROM (SELECT license, template, unnest(regexp_extract_all(lower(t), '{token}', 1)) AS token FROM (VALUES {values}) v(license, template, t)) GROUP BY ALL),
+    tt AS MATERIALIZED (SELECT license, template, regexp_extract_all(lower(t), '{token}', 1) AS own FROM (VALUES {values}) v(license, template, t)),
+    tw AS (SELECT license, template, len(own) AS size, token, count(*) AS tf FROM (SELECT *, unnest(own) AS token FROM tt) GROUP BY ALL),
     vocab AS (SELECT DISTINCT token FROM tw),
-    df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{token}', 1)) AS token FROM files) WHERE token IN (SELECT token FROM vocab)) GROUP BY token),
+    toks AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{token}', 1) AS toks FROM files),
+    held AS MATERIALIZED (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(toks) AS token FROM toks) WHERE token IN (SELECT token FROM vocab)),
+    df AS (SELECT token, count(*) AS df FROM held GROUP BY token),
     total AS (SELECT count(*) AS n FROM files),
-    idf AS (SELECT token, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocab LEFT JOIN df USING (token), total),
+    idf AS MATERIALIZED (SELECT token, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocab LEFT JOIN df USING (token), total),
     other AS (SELECT ln(n + 1.0) + 1 AS o FROM total),
-    ours AS (SELECT license, template, token, tf * idf AS w, sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS t_norm FROM tw JOIN idf USING (token)),
-    said AS (SELECT doc_id, unnest(s) AS said, generate_subscripts(s, 1) AS n FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\n+', chr(1), 'g'), '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM files)),
-    words AS (SELECT doc_id, n, token, count(*) AS tf FROM (SELECT doc_id, n, unnest(regexp_extract_all(lower(said), '{token}', 1)) AS token FROM said WHERE regexp_matches(said, '{trigger}', 'i')) GROUP BY ALL),
-    weighed AS (SELECT doc_id, n, token, tf * coalesce(idf, o) AS w FROM words LEFT JOIN idf USING (token), other),
-    length AS (SELECT doc_id, n, sqrt(sum(w ** 2)) AS norm FROM weighed GROUP BY ALL),
-    dots AS (SELECT doc_id, n, license, template, sum(weighed.w * ours.w / t_norm) AS dot FROM weighed JOIN ours USING (token) GROUP BY ALL),
-    own AS (SELECT doc_id, path, license, score FROM (SELECT doc_id, license, round(dot / norm, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 6) DESC, license) AS k FROM dots JOIN length USING (doc_id, n) WHERE round(dot / norm, 6) >= {COSINE}) JOIN files USING (doc_id) WHERE k = 1),
+    ours AS MATERIALIZED (SELECT license, template, size, token, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS w FROM tw JOIN idf USING (token)),
+    pairs AS MATERIALIZED (SELECT doc_id, license, template, size FROM held JOIN ours USING (token) GROUP BY ALL HAVING sum(w ** 2) >= {(COSINE - SLACK) ** 2}),
+    starts AS (SELECT doc_id, license, template, size, toks, own, unnest(range(0, len(toks), greatest(1, size // {GRID}))) AS place FROM pairs JOIN toks USING (doc_id) JOIN tt USING (license, template)),
+    windows AS (SELECT doc_id, license, template, place, unnest(toks[place + 1 : place + size]) AS token FROM starts
+        WHERE NOT (size <= {SAYING} AND list_has_any(toks[greatest(place - {BEFORE} - size // 2, 0) + 1 : place + size], {denies}) AND NOT list_has_any(own, {denies}))),
+    counts AS (SELECT doc_id, license, template, place, token, count(*) AS tf FROM windows GROUP BY ALL),
+    weighed AS (SELECT doc_id, license, template, place, token, tf * coalesce(idf, o) AS v FROM counts LEFT JOIN idf USING (token), other),
+    scores AS (SELECT doc_id, weighed.license, round(sum(v * coalesce(w, 0)) / sqrt(sum(v ** 2)), 6) AS score FROM weighed LEFT JOIN ours USING (template, token) GROUP BY doc_id, weighed.license, template, place),
+    own AS (SELECT doc_id, path, license, score FROM (SELECT doc_id, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM scores WHERE score >= {COSINE}) JOIN files USING (doc_id) WHERE k = 1),
     speaks AS (SELECT {folder} AS dir, min(path) AS path, arg_min(license, path) AS license, arg_min(score, path) AS score FROM own WHERE regexp_matches({name}, '{licence}', 'i') GROUP BY 1),
     near AS (SELECT f.doc_id, arg_max(s.path, length(s.dir)) AS path, arg_max(s.license, length(s.dir)) AS license, arg_max(s.score, length(s.dir)) AS score FROM files f JOIN speaks s ON starts_with({folder.replace("path", "f.path")} || '/', s.dir || '/') GROUP BY 1)
     SELECT f.doc_id, f.path, coalesce(o.license, a.license) AS license, coalesce(o.score, a.score) AS score, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN a.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN o.license IS NULL THEN a.path END AS license_path
