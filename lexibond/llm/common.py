@@ -254,17 +254,17 @@ def plain(piece: bytes) -> bytes:
 class Pieces:
     """Ids of pieces, cached in the worker: little-endian 32-bit ids as bytes.
 
-    At most ``limit`` pieces are held; beyond that the cache starts anew. Pieces that are missing are encoded
-    together, a batch at a time.
+    Beyond ``limit`` pieces the cache becomes the older one, of which pieces that occur again are taken over; so twice
+    ``limit`` are held at most, and frequent ones stay. Pieces that are missing are encoded together, a batch at a time.
     """
 
-    def __init__(self, path: str, cut: Callable[[bytes], list[bytes]], limit: int = 1_200_000) -> None:
+    def __init__(self, path: str, cut: Callable[[bytes], list[bytes]], limit: int = 400_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cut, self.limit, self.known = Tokenizer.from_file(path), cut, limit, {}
+        self.tokenizer, self.cut, self.limit, self.known, self.older = Tokenizer.from_file(path), cut, limit, {}, {}
         self.tokenizer.model._resize_cache(0)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -319,9 +319,13 @@ class Pieces:
                 missing = set()
                 for p in group:
                     missing.update(p)
-                missing = list(missing.difference(self.known))  # looks each piece up once, in C
+                missing = missing.difference(self.known)  # looks each piece up once, in C
+                if missing and self.older:
+                    again = missing.intersection(self.older)
+                    self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+                    missing -= again
                 if missing:
-                    self.learn(missing)
+                    self.learn(list(missing))
                 get = self.known.__getitem__
                 for p in group:
                     yield map(get, p)
@@ -330,7 +334,7 @@ class Pieces:
 
     def trim(self) -> None:
         if len(self.known) > self.limit:
-            self.known = {}
+            self.known, self.older = {}, self.known
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""

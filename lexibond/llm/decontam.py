@@ -32,7 +32,7 @@ STRIDE, WINDOW = 12, 8
 class Symbols:
     """Words to 64-bit symbols, cached in the worker; a word of punctuation alone is 0 and left out."""
 
-    def __init__(self, limit: int = 300_000) -> None:
+    def __init__(self, limit: int = 150_000) -> None:
         self.limit, self.known = limit, {}
 
     def of(self, text: bytes) -> np.ndarray:

@@ -25,7 +25,7 @@ class Lengths(Pieces):
 
     def trim(self) -> None:
         if len(self.known) > self.limit:
-            self.known = dict(self.frequent)
+            self.known, self.older = dict(self.frequent), self.known
 
 
 def frequent_pieces(docs: DataFrame, cut, text: str = "text", size: int = TABLE) -> list[bytes]:

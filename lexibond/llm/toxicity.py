@@ -33,7 +33,7 @@ _MARKS = b".,;:!?\"'()[]{}*_-"
 class Words:
     """Buckets and language marks of words, cached in the worker; at most ``limit`` words are held."""
 
-    def __init__(self, limit: int = 300_000) -> None:
+    def __init__(self, limit: int = 150_000) -> None:
         self.limit, self.known = limit, {}
         self.language = {w: k for k, v in enumerate(LANGUAGES.values(), 1) for w in v.split()}
         for w in list(self.language):  # a word of several languages tells nothing
