@@ -97,49 +97,62 @@ def folded(keys: list[np.ndarray]) -> np.ndarray:
 
 
 class Lookup:
-    """Lists of items by sample, looked up for many samples at once."""
-
-    def __init__(self, by: dict[int, list[int]]) -> None:
-        self.keys = np.array(sorted(by), np.uint64)
-        self.items = [by[int(k)] for k in self.keys]
-
-    def get(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """Items by sample, looked up for many samples at once."""
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray) -> None:
+        order = np.lexsort((items, keys))
+        keys, items = keys[order], items[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (items[1:] != items[:-1])] if len(keys) else np.zeros(0, bool)
+        keys, self.items = keys[new], items[new].astype(np.int32)
+        self.keys, self.first = np.unique(keys, return_index=True)
+        self.many = np.diff(np.r_[self.first, len(keys)])
+
+    def get(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and items, a pair for each item of each sample that is found."""
         if not len(keys) or not len(self.keys):
-            return at[:0], []
+            return at[:0], self.items[:0]
         k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         found = self.keys[k] == keys
-        return at[found], [self.items[i] for i in k[found].tolist()]
+        k, at = k[found], at[found]
+        many = self.many[k]
+        start = np.repeat(self.first[k] - np.cumsum(many) + many, many)
+        return np.repeat(at, many), self.items[start + np.arange(len(start))]
 
 
 class Index:
-    """The samples of the items' windows, by repetition and class of length."""
+    """The samples of the items' windows, by repetition and class of length: arrays, built once and sent to the workers."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], seed: int = 11) -> None:
         self.items = [(k, w) for k, w in items if len(w)]
-        self.held = [set(w.tolist()) for _, w in self.items]
+        self._held: dict[int, set[int]] = {}
         rng = np.random.default_rng(seed)
-        seen: dict = defaultdict(int)
-        for held in self.held:
-            for x in held:
-                seen[x] += 1
-        common = np.array(sorted(x for x, n in seen.items() if n > COMMON * len(self.items)), np.uint64)
+        distinct = [np.unique(w) for _, w in self.items]
+        seen, n = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.zeros(0, np.uint64),) * 2
+        common = seen[n > COMMON * len(self.items)]
         self.mix = [int(x) | 1 for x in rng.integers(1, 1 << 63, REPETITIONS)]
         firsts = [int(x) for x in rng.integers(0, 5, REPETITIONS)]
         #: For each stream of words (all but the common ones; all): the words left out, and samples by repetition.
         self.streams = []
-        groups = {True: [], False: []}
-        for n, (_, w) in enumerate(self.items):
-            groups[bool((~np.isin(w, common)).sum() >= FEWEST)].append(n)
-        for bare, members in groups.items():
+        bare = [w[~np.isin(w, common)] for _, w in self.items]
+        for few in (False, True):
+            members = [i for i, w in enumerate(bare) if (len(w) < FEWEST) == few]
             if members:
-                drop = common if bare else np.zeros(0, np.uint64)
                 classes = defaultdict(list)
-                for n in members:
-                    w = self.items[n][1]
-                    own = w[~np.isin(w, drop)] if bare else w
+                for i in members:
+                    own = self.items[i][1] if few else bare[i]
                     for o in starts(len(own)):
-                        classes[(len(own) - o).bit_length()].append((n, own[o:]))
-                self.streams.append((drop, [self._samples(list(classes.values()), r, firsts[r], rng) for r in range(REPETITIONS)]))
+                        classes[(len(own) - o).bit_length()].append((i, own[o : o + _STEPS + 1]))  # a walk goes no farther
+                packed = []
+                for own in classes.values():
+                    sizes = np.array([len(w) for _, w in own])
+                    packed.append((np.array([i for i, _ in own]), np.concatenate([w for _, w in own]), np.cumsum(sizes) - sizes, np.cumsum(sizes), int(sizes.min())))
+                self.streams.append((np.zeros(0, np.uint64) if few else common, [self._samples(packed, r, firsts[r], rng) for r in range(REPETITIONS)]))
+
+    def held(self, n: int) -> set[int]:
+        """The distinct words of an item."""
+        if n not in self._held:
+            self._held[n] = set(self.items[n][1].tolist())
+        return self._held[n]
 
     def _samples(self, classes: list, r: int, first: int, rng) -> list:
         """By first sampled step: a table of the windows' words there, and the samples of each class of lengths.
@@ -148,18 +161,13 @@ class Index:
         settles it for all of them.
         """
         by_first = defaultdict(list)
-        for own in classes:
-            most = max(1, min(_STEPS, int(1.4 * min(len(w) for _, w in own))))
+        for owner, words, begin, ends, shortest in classes:
+            most = max(1, min(_STEPS, int(1.4 * shortest)))
             start = min(first, most - 1)
             rest = rng.choice(np.arange(start + 1, most), min(PLACES - 1, most - start - 1), replace=False)
             steps = sorted([start, *map(int, rest)])
-            by = defaultdict(list)
-            ends = np.cumsum([len(w) for _, w in own])
-            whole, keys = sample(np.concatenate([w for _, w in own]), np.r_[0, ends[:-1]], self.mix[r], 0, steps, ends)
-            for k, key in zip(whole.tolist(), folded(keys).tolist(), strict=True):
-                if own[k][0] not in by[key]:
-                    by[key].append(own[k][0])
-            by_first[start].append((steps, Lookup(by), (keys[0] & np.uint64(0xFFFF)).astype(np.intp)))
+            whole, keys = sample(words, begin, self.mix[r], 0, steps, ends)
+            by_first[start].append((steps, Lookup(folded(keys), owner[whole]), (keys[0] & np.uint64(0xFFFF)).astype(np.intp)))
         out = []
         for start, group in sorted(by_first.items()):
             table = np.zeros(1 << 16, np.uint8)  # a bit for each class; those beyond eight share the last
@@ -168,8 +176,8 @@ class Index:
             out.append((start, table, [(steps, by) for steps, by, _ in group]))
         return out
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
-        """Places in ``words``, and for each the items with a sample that the window which starts there equals."""
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a place in ``words`` and an item that has a sample which the window that starts there equals."""
         for drop, repetitions in self.streams:
             kept = np.flatnonzero(~np.isin(words, drop)) if len(drop) else np.arange(len(words))
             w = words[kept]
@@ -231,15 +239,14 @@ def _hits(index: Index, texts: list[np.ndarray], edits: float) -> dict[tuple[int
     for places, items in index.candidates(words):
         owner = np.searchsorted(bounds, places, "right")
         own = places - bounds[owner] + sizes[owner]
-        for d, at, found in zip(owner.tolist(), own.tolist(), items, strict=True):
-            for n in found:
-                item = index.items[n][1]
-                mark = (d, n, at // max(4, len(item) // 4))
-                if mark not in tried:
-                    tried.add(mark)
-                    hit = verify(item, index.held[n], texts[d], at, int(edits * len(item)))
-                    if hit is not None and ((d, n) not in best or hit < best[d, n]):
-                        best[d, n] = hit
+        for d, at, n in zip(owner.tolist(), own.tolist(), items.tolist(), strict=True):
+            item = index.items[n][1]
+            mark = (d, n, at // max(4, len(item) // 4))
+            if mark not in tried:
+                tried.add(mark)
+                hit = verify(item, index.held(n), texts[d], at, int(edits * len(item)))
+                if hit is not None and ((d, n) not in best or hit < best[d, n]):
+                    best[d, n] = hit
     return best
 
 
@@ -247,7 +254,7 @@ def _search(docs: DataFrame, sent, edits: float, key: str, text: str) -> DataFra
     schema = f"{key} bigint, item_id bigint, edits int, start_word bigint, end_word bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, own = Index(sent.value), Symbols()
+        index, own = sent.value, Symbols()
         for b in batches:
             keys = b.column(0).to_pylist()
             best = _hits(index, [own.of(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()], edits)
@@ -260,17 +267,17 @@ def _search(docs: DataFrame, sent, edits: float, key: str, text: str) -> DataFra
 
 
 def _blocks(benchmark: DataFrame, item: str) -> Iterator:
-    """Broadcasts of the benchmark's items, each of bounded size; one, if empty, at least."""
+    """Broadcasts of indexes of the benchmark's items, each of bounded size; one, if empty, at least."""
     symbols, block, size, sent = Symbols(), [], 0, 0
     spark = benchmark.sparkSession
     for r in benchmark.select(item, "text").orderBy(item).toLocalIterator():
         if block and (len(block) >= BLOCK_ITEMS or size + len(r[1] or "") > BLOCK_BYTES):
-            yield spark.sparkContext.broadcast(block)
+            yield spark.sparkContext.broadcast(Index(block))
             block, size, sent = [], 0, sent + 1
         block.append((r[0], symbols.of((r[1] or "").encode())))
         size += len(r[1] or "")
     if block or not sent:
-        yield spark.sparkContext.broadcast(block)
+        yield spark.sparkContext.broadcast(Index(block))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -295,7 +302,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str
 
     def without(docs: DataFrame, sent) -> DataFrame:
         def make():
-            index, own = Index(sent.value), Symbols()
+            index, own = sent.value, Symbols()
 
             def keep(texts: list[bytes]) -> list[bool]:
                 held = {d for d, _ in _hits(index, [own.of(t) for t in texts], edits)}

@@ -91,6 +91,44 @@ def test_edits_in_one_place():
             assert sum((i, i) in found for i in range(60)) >= 0.97 * 60
 
 
+def test_recall_by_length_and_edits():
+    """Of items planted with so many edits, each of which all-places edit distance finds, at least 0.9 in every cell."""
+    rng = random.Random(20)
+    own = decontam.Symbols()
+    lengths = (5, 8, 12, 20, 40, 80, 120)
+    items = [words(rng, n) for n in lengths for _ in range(40)]
+    codes = [own.of(" ".join(w).encode()) for w in items]
+    index = decontam.Index(list(enumerate(codes)))
+    for share in (0, 0.1, 0.2):
+        texts = []
+        for w in items:
+            body = words(rng, 120)
+            body[60:60] = edited(rng, w, int(share * len(w)))
+            texts.append(own.of(" ".join(body).encode()))
+        assert all(decontam.edit_ends(c, t).min() <= int(share * len(c)) for c, t in zip(codes, texts, strict=True))
+        found = decontam._hits(index, texts, decontam.EDITS)
+        for k, n in enumerate(lengths):
+            assert sum((i, i) in found for i in range(40 * k, 40 * k + 40)) >= 36, (n, share)
+
+
+def test_index_of_many_items_is_built_once(monkeypatch, spark):
+    import time
+
+    rng = np.random.default_rng(5)
+    items = [(i, rng.integers(1, 1 << 40, 40).astype(np.uint64)) for i in range(20_000)]
+    start = time.process_time()
+    index = decontam.Index(items)
+    assert time.process_time() - start < 40
+    found = decontam._hits(index, [items[7][1], items[19_999][1]], decontam.EDITS)
+    assert set(found) == {(0, 7), (1, 19_999)}
+    built = []
+    real = decontam.Index.__init__
+    monkeypatch.setattr(decontam.Index, "__init__", lambda self, block: built.append(len(block)) or real(self, block))
+    df = spark.createDataFrame([(i, f"word{i} alpha beta gamma") for i in range(40)], "doc_id bigint, text string").repartition(8)
+    assert decontam.contaminated(df, df.where("doc_id < 5").selectExpr("doc_id as item_id", "text")).count() >= 5
+    assert built == [5]
+
+
 def test_blocks_and_edges(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, " ".join(words(rng, 30)), None) for i in range(7)] + [(90, None, None), (91, "...", None), (None, "alpha beta gamma delta", None), (92, "short one", None)]
