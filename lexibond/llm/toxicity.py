@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import filter_text, map_text
+from lexibond.llm.common import filter_text, forget, map_text, written
 
 #: Words and their first ``PREFIX`` letters are hashed to this many buckets each; only buckets in ``MIN_DOCS`` sampled
 #: texts or more get an embedding. A word whose bucket has none takes that of its first letters.
@@ -226,14 +226,18 @@ def _calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> Non
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Train on labelled rows whose crc32(key as text) mod 5 isn't 0.
 
-    The sample is the first ``SAMPLE_ROWS`` of them in hash order, as far as their texts fit ``SAMPLE_BYTES``; the
-    driver gets word codes of those only.
+    The sample is the first ``SAMPLE_ROWS`` labelled keys in hash order, one text each (of a repeated key's texts the one
+    with the least hash), as far as these fit ``SAMPLE_BYTES``; the driver gets word codes of those only. Labels of
+    repeated keys count as 1 if any does; null labels and keys count as none.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0)).groupBy(key).agg(F.max(label).alias("y"))
     known = known.withColumn("h", F.xxhash64(key)).orderBy("h", key).limit(SAMPLE_ROWS)
-    rows = docs.select(key, text).join(F.broadcast(known), key)
-    sizes = rows.select(key, "y", "h", F.coalesce(F.octet_length(text), F.lit(0)).alias("b")).collect()
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(known), key)
+    # one row a key, summed up before the shuffle, whatever the number of rows that share it
+    rows = rows.groupBy(key, "y", "h").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text")).alias("t")).select(key, "y", "h", F.col("t.text").alias("text"))
+    rows = written(rows, "labelled")
+    sizes = rows.select(key, "y", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")).collect()
     sample, used = {}, 0
     for r in sorted(sizes, key=lambda r: (r["h"], r[key])):
         if used + r["b"] <= SAMPLE_BYTES:
@@ -247,8 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         words = Words()
         return lambda keys, texts: {key: pa.array(keys, pa.int64()), "codes": pa.array([words.codes(t).astype("<i8").tobytes() for t in texts], pa.binary())}
 
-    got = map_text(docs.select(key, text).join(ids, key), key, text, f"{key} bigint, codes binary", make).collect()
-    got.sort(key=lambda r: (r[0], r[1]))
+    got = map_text(rows.select(key, "text").join(ids, key), key, "text", f"{key} bigint, codes binary", make).collect()
+    forget(rows)
+    got.sort(key=lambda r: r[0])
     return train([np.frombuffer(r[1], "<i8") for r in got], np.array([int(sample[r[0]] > 0) for r in got]))
 
 
@@ -286,6 +291,9 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of all documents, by a model fitted to the labelled ones."""
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    """``doc_id, held_out, score, predicted`` of all documents, by a model fitted to the labelled ones.
+
+    A row without a key has no label and isn't held out; the rest is as of ``fit`` and ``score``.
+    """
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
     return score(docs, fit(docs, labels)).select("doc_id", held, "score", "predicted")
