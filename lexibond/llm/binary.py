@@ -4,7 +4,7 @@ One file::
 
     magic    8 bytes
     chunks   each ``BLOCK`` ids (the last fewer): the planes, each a zstandard frame
-    docs     zstandard of doc ids (8 bytes each) and lengths (4 bytes each)
+    docs     zstandard of doc ids (8 bytes each), lengths (4 bytes each) and 1, or 0 for a null id (1 byte each)
     index    zstandard of, for each chunk: offset (8), ids (4), then the plane sizes (4 each)
     footer   offsets of docs and index, numbers of docs, chunks, ids and planes, kind of plane, magic
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexibond.llm.common import input_bytes, pieces_of, small_batches, space_dropped_pieces, spaced_pieces, workspace
 
-MAGIC = b"IDPLANE1"
+MAGIC = b"IDPLANE2"
 FOOTER = struct.Struct("<QQQQQBB8s")
 BLOCK = 1 << 16
 #: Text bytes that one file takes.
@@ -70,7 +70,7 @@ class PlaneWriter:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         self.doc_ids.append(doc_id)
         self.lengths.append(len(ids) // 4)
         self.n += len(ids) // 4
@@ -96,7 +96,8 @@ class PlaneWriter:
     def close(self) -> None:
         self._flush(True)
         docs_at = self.at
-        self._put(self.zstd.compress(np.asarray(self.doc_ids, "<i8").tobytes() + np.asarray(self.lengths, "<u4").tobytes()))
+        known = np.array([d is not None for d in self.doc_ids], np.uint8)
+        self._put(self.zstd.compress(np.array([d or 0 for d in self.doc_ids], "<i8").tobytes() + np.asarray(self.lengths, "<u4").tobytes() + known.tobytes()))
         index_at = self.at
         self._put(self.zstd.compress(self.index.getvalue()))
         self._put(FOOTER.pack(docs_at, index_at, len(self.doc_ids), self.chunks, self.n, self.planes, self.bits, MAGIC))
@@ -112,8 +113,10 @@ class PlaneReader:
         if magic != MAGIC:
             raise ValueError("not a file of id planes")
         self.zstd = zstandard.ZstdDecompressor()
-        docs = self.zstd.decompress(self._at(docs_at, index_at - docs_at), max_output_size=12 * self.n_docs + 1)
-        self.doc_ids, self.lengths = np.frombuffer(docs[: 8 * self.n_docs], "<i8"), np.frombuffer(docs[8 * self.n_docs :], "<u4")
+        docs = self.zstd.decompress(self._at(docs_at, index_at - docs_at), max_output_size=13 * self.n_docs + 1)
+        ids, known = np.frombuffer(docs[: 8 * self.n_docs], "<i8"), docs[12 * self.n_docs :]
+        self.doc_ids = [d if k else None for d, k in zip(ids.tolist(), known, strict=True)]
+        self.lengths = np.frombuffer(docs[8 * self.n_docs : 12 * self.n_docs], "<u4")
         entry = struct.Struct(f"<QI{self.planes}I")
         index = self.zstd.decompress(self._at(index_at, size - FOOTER.size - index_at), max_output_size=entry.size * self.n_chunks + 1)
         self.index = list(entry.iter_unpack(index))
@@ -131,10 +134,10 @@ class PlaneReader:
             i += s
         return from_planes(out, n, self.bits)
 
-    def documents(self) -> Iterator[tuple[int, bytes, int]]:
+    def documents(self) -> Iterator[tuple[int | None, bytes, int]]:
         """``doc_id, ids as bytes, first id's place in the file`` in order; holds a document and a chunk."""
         k, rest, start = 0, b"", 0
-        for doc_id, length in zip(self.doc_ids.tolist(), self.lengths.tolist(), strict=True):
+        for doc_id, length in zip(self.doc_ids, self.lengths.tolist(), strict=True):
             parts, have = [rest], len(rest)
             while have < 4 * length:
                 part = self.chunk(k).tobytes()
@@ -155,8 +158,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, drops_space
     in the manifest count. It has a row for each file: ``part, file, n_docs, n_ids``. ``planes``: bytes (bits, with
     ``bits``) of an id that are kept; an id beyond that is an error. ``out`` may be in any store that pyarrow opens.
 
-    Null text is empty and gets its end id; a null key is an error, as it has no place in the order. Repeated keys
-    stay, side by side. An empty table gives no files. Other columns are ignored.
+    Null text is empty and gets its end id. Null keys come first; rows that share a key come in the order of their texts'
+    hashes, and may be dealt to several files. An empty table gives no files. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
@@ -170,9 +173,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, drops_space
 
         pieces, writer, stream = pieces_of(path, cut), None, None
         for b in batches:
-            if None in (keys := b.column(0).to_pylist()):
-                raise ValueError(f"{key} is null")
-            for k, ids in zip(keys, pieces.ids([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]), strict=True):
+            for k, ids in zip(b.column(0).to_pylist(), pieces.ids([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]), strict=True):
                 if len(ids) and np.frombuffer(ids, "<u4").max() >= top:
                     raise ValueError(f"an id needs more than {planes} planes")
                 if writer is None:
@@ -188,7 +189,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, drops_space
             stream.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.doc_ids)]), pa.array([writer.n])], ["part", "file", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col(key), F.col(text)).repartitionByRange(parts, key).sortWithinPartitions(key)
+    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).withColumn("_copy", F.xxhash64("_text"))
+    rows = rows.repartitionByRange(parts, "_key", "_copy").sortWithinPartitions("_key", "_copy").select("_key", "_text")
     made = rows.mapInArrow(run, "part int, file string, n_docs bigint, n_ids bigint").collect()
     return spark.createDataFrame(sorted(made), "part int, file string, n_docs bigint, n_ids bigint")
 

@@ -70,10 +70,20 @@ def test_planes():
             assert (binary.from_planes(binary.to_planes(ids[:n], planes, bits), n, bits) == ids[:n]).all()
 
 
-def test_null_key_and_wide_ids_are_errors(spark, tmp_path):
-    for df, planes in ((spark.createDataFrame([(None, "a")], "doc_id bigint, text string"), 2), (spark.createDataFrame([(1, "hello")], "doc_id bigint, text string"), 1)):
-        with pytest.raises(Exception):
-            binary.write_ids(df, WORDS, f"file://{tmp_path}", planes=planes)
+def test_null_keys_come_first_and_wide_ids_are_errors(spark, tmp_path):
+    rows = [(None, "b c"), (4, "a"), (None, None), (-9, "d")]
+    got = [tuple(r) for r in binary.binary_round_trip(spark.createDataFrame(rows, "doc_id bigint, text string"), WORDS).orderBy("start").collect()]
+    assert [r[0] for r in got] == [None, None, -9, 4] and [r[1] for r in got] == list(np.cumsum([0, *(r[2] for r in got[:-1])]))
+    assert sorted(r[2] for r in got[:2]) == sorted(len(ids_of(WORDS, t)) + 1 for k, t in rows if k is None)
+    with pytest.raises(Exception):
+        binary.write_ids(spark.createDataFrame([(1, "hello")], "doc_id bigint, text string"), WORDS, f"file://{tmp_path}", planes=1)
+
+
+def test_rows_of_one_key_are_dealt_out(spark):
+    rows = [(7, f"text number {i}") for i in range(300)] + [(8, "x"), (6, "y")]
+    got = binary.binary_round_trip(spark.createDataFrame(rows, "doc_id bigint, text string"), WORDS).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [6, *[7] * 300, 8]
+    assert [r["start"] for r in got] == list(np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]))
 
 
 def check_packing(rows, limits=(2048, 256)):
@@ -121,5 +131,43 @@ def test_vector_limits(spark):
     assert max(used.values()) <= 6 and max(loss.values()) <= 900
     bound = max(sum(r[1] for r in rows) / 2048, sum(r[2] for r in rows) / 900, 2000 / 6)
     assert len(used) <= 1.15 * bound
-    with pytest.raises(Exception):
-        packing.pack_counts(spark.createDataFrame([(1, 3000, 0)], "doc_id bigint, tokens int, loss_tokens int")).collect()
+    lone = packing.pack_counts(spark.createDataFrame([(1, 3000, 0), (2, 5, 2000), (None, None, None), (None, 4, 4), (3, 4, 4), (3, 4, 4)], "doc_id bigint, tokens int, loss_tokens int"), loss=900).collect()
+    assert {r["doc_id"] for r in lone if r["sequence_id"] is None} == {1, 2} and len(lone) == 6
+    assert packing.pack_counts(spark.createDataFrame([], "doc_id bigint, tokens int, loss_tokens int")).count() == 0
+
+
+def test_each_limit_binds(spark):
+    """With one scarce resource at a time, bins stay within a tenth of what that resource alone takes."""
+    rng = np.random.default_rng(4)
+    kinds = {"tokens": (1, 700, 0.1), "segments": (1, 60, 0.1), "loss": (1, 700, 0.95)}
+    for scarce, (low, high, share) in kinds.items():
+        rows = [(i, int(n), int(n * share)) for i, n in enumerate(rng.integers(low, high, 3000))]
+        limits = {"tokens": 2048, "segments": 12, "loss": 1024}
+        got = packing.pack_counts(spark.createDataFrame(rows, "doc_id bigint, tokens int, loss_tokens int").coalesce(1), **limits).collect()
+        need = {"tokens": sum(r[1] for r in rows), "segments": len(rows), "loss": sum(r[2] for r in rows)}
+        bounds = {k: need[k] / limits[k] for k in limits}
+        assert max(bounds, key=bounds.get) == scarce
+        assert len({r["sequence_id"] for r in got}) <= 1.1 * bounds[scarce] + 1
+
+
+def test_conversations(spark):
+    rng = np.random.default_rng(6)
+    turns = [(c, t, ("user", "assistant")[t % 2], "word " * int(rng.integers(1, 120)), "clash") for c in range(300) for t in range(int(rng.integers(1, 6)))]
+    turns += [(900, 0, "assistant", "long " * 1500, "x"), (None, 0, "user", None, "x"), (None, None, None, "one two", None)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, tokens string").repartition(3)
+    limits = {"tokens": 2048, "segments": 12, "loss": 1024}
+    got = packing.pack_conversations(df, BYTES, **limits).collect()
+    want = defaultdict(lambda: [0, 0, 0])
+    for c, _, role, text, _ in turns:
+        n = len(ids_of(BYTES, text)) + 1
+        want[c] = [want[c][0] + n, want[c][1] + n * (role == "assistant"), want[c][2] + 1]
+    assert {r["conv_id"]: [r["n_tokens"], r["n_loss"], r["n_turns"]] for r in got} == dict(want) and len(got) == len(want)
+    assert [r["conv_id"] for r in got if r["sequence_id"] is None] == [900]
+    used = defaultdict(lambda: [0, 0, 0])
+    for r in sorted(got, key=lambda r: r["offset"] or 0):
+        if r["sequence_id"] is not None:
+            u = used[r["sequence_id"]]
+            assert r["offset"] == u[0]
+            used[r["sequence_id"]] = [u[0] + r["n_tokens"], u[1] + 1, u[2] + r["n_loss"]]
+    assert all(u[0] <= 2048 and u[1] <= 12 and u[2] <= 1024 for u in used.values())
+    assert packing.pack_conversations(df.limit(0), BYTES, **limits).count() == 0
