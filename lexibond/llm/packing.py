@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import pieces_of, small_batches, spaced_pieces
+from lexibond.llm.common import pieces_of, small_batches, spaced_pieces, written
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 2048, 256, 2048
@@ -23,7 +23,7 @@ class Packer:
     whose demand, as shares of the limits, has the largest dot product with what is left of the limits. With
     ``cut`` an item may be cut: then what is left over of a sequence is filled with the head of a waiting item, and
     sequences that stay short are split into ones whose length is a power of two. Without, an item that exceeds a
-    limit by itself is an error.
+    limit by itself is given alone and in no sequence.
     """
 
     def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, window: int = WINDOW, cut: bool = True) -> None:
@@ -33,6 +33,10 @@ class Packer:
         self.need = np.zeros((2 * window, 3))
         self.sequence = 0
 
+    def beyond(self, item) -> bool:
+        """Whether an item exceeds a limit by itself."""
+        return bool((np.array([item[2], 1, item[3]]) > self.limits).any())
+
     def _loss(self, item, a: int, b: int) -> int:
         """Loss tokens of a part; those of an item are its last ones."""
         return max(0, b - max(a, item[2] - item[3]))
@@ -57,8 +61,9 @@ class Packer:
         return (key, start + a, b - a, loss, whole, data[4 * a : 4 * b] if data is not None else None)
 
     def add(self, item) -> Iterator[list]:
-        if not self.cut and (np.array([item[2], 1, item[3]]) > self.limits).any():
-            raise ValueError(f"an item of {item[2]} tokens exceeds the limits")
+        if not self.cut and self.beyond(item):
+            yield [item]
+            return
         full = int(min(self.limits[0], self.limits[2]))
         if self.cut and item[2] > full:
             at = 0
@@ -119,6 +124,9 @@ class Packer:
 
     def rows(self, sequences: Iterator[list], first: int) -> Iterator[tuple]:
         for s in sequences:
+            if not self.cut and self.beyond(s[0]):
+                yield s[0][0], 0, s[0][2], None, s[0][4], None, None
+                continue
             for t in self.shorter(s):
                 at = 0
                 for key, start, length, _, whole, data in t:
@@ -177,10 +185,36 @@ def pack_texts(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id",
 def pack_counts(examples: DataFrame, **limits) -> DataFrame:
     """Pack whole examples of known size: ``doc_id, tokens, loss_tokens`` in, rows as of ``pack_texts`` out.
 
-    Nothing is cut. An example beyond a limit by itself is an error. Null counts are 0.
+    Nothing is cut. An example beyond a limit by itself has a row whose ``sequence_id`` and ``offset`` are null, and is in no
+    sequence. Null counts are 0. Null and repeated keys are packed like others; an empty table gives no rows. Other columns
+    are ignored. A task packs its own rows, so each can leave one sequence that isn't full.
     """
+
     def items(b: pa.RecordBatch) -> Iterator[tuple]:
         for k, n, loss in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             yield k, 0, n or 0, loss or 0, n or 0, None
 
     return _packed(examples.select("doc_id", F.col("tokens").cast("bigint"), F.col("loss_tokens").cast("bigint")), items, cut=False, **limits)
+
+
+def pack_conversations(turns: DataFrame, path: str, end_id: int = 1, role: str = "assistant", **limits) -> DataFrame:
+    """Pack whole conversations ``conv_id, role, text``: ``conv_id, n_tokens, n_loss, n_turns, sequence_id, offset``.
+
+    A turn's tokens are its ids and ``end_id``; those of ``role`` bear loss. Turns are counted where they are and only sums
+    are shuffled, so a conversation that a third of all turns belong to is one row there. A conversation beyond a limit by
+    itself has a null ``sequence_id``. Null texts are empty; turns without ``conv_id`` are one conversation, whose id is
+    null; of a null role no token bears loss.
+    """
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pieces_of(path, spaced_pieces).ids([x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 + 1 for x in ids], pa.int64())], ["conv_id", "role", "n"])
+
+    small_batches(turns.sparkSession)
+    rows = turns.select(F.col("conv_id").cast("bigint"), F.col("role").cast("string"), F.col("text")).mapInArrow(sizes, "conv_id bigint, role string, n bigint")
+    loss = F.sum(F.when(F.col("role") == role, F.col("n")).otherwise(0))
+    sums = written(rows.groupBy("conv_id").agg(F.sum("n").alias("tokens"), loss.alias("loss_tokens"), F.count("*").alias("n_turns")), "conversations")
+    packed = pack_counts(sums.withColumnRenamed("conv_id", "doc_id"), **limits).select("doc_id", "sequence_id", "offset")
+    sums = sums.select("conv_id", F.col("tokens").alias("n_tokens"), F.col("loss_tokens").alias("n_loss"), "n_turns")
+    return sums.join(packed, F.col("conv_id").eqNullSafe(F.col("doc_id"))).drop("doc_id")

@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": lambda s, d: decontam.contaminated(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op5_toxicity": lambda s, d: toxicity.toxicity(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op6_packing": lambda s, d: packing.pack_texts(_docs(s, d), path("byte_bpe_50k.json")),
+        "instruction_packing": lambda s, d: packing.pack_conversations(s.read.parquet(f"{d}/conversations.parquet"), path("byte_bpe_50k.json"), tokens=2048, segments=12, loss=1024),
         "op7_license_scan": lambda s, d: licenses.scan_documents(_docs(s, d, "doc_id", "text", "lang", "source")),
         "op8_substring_dedup": lambda s, d: substring.remove_repeats(_docs(s, d), with_text=False),
         "op9_simhash": lambda s, d: simhash.near_groups(_docs(s, d)),
