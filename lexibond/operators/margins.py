@@ -33,4 +33,4 @@ def score(pairs: DataFrame, digits: int | None = None) -> DataFrame:
     if digits is not None:
         value = F.round(value, digits)
     out = pairs.where(llr_defined(*counts)).select("lang", "decade", "w1", "w2", value.alias("llr"))
-    return out.where(~F.isnan("llr"))
+    return out.where(~F.isnan("llr") & (F.abs("llr") < float("inf")))

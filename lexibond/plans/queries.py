@@ -2,14 +2,18 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexibond.functions.text import clean_token, decade, lang_from_path
 from lexibond.operators import attach_first, attach_margins, bigram_counts, corpus_size, drop_stopwords, score, top_k, unigram_counts
-from lexibond.plans.pipeline import top_pairs, top_pairs_of_text
-from lexibond.sources import STOPWORDS, conversation_tokens, document_tokens, parse_pairs, parse_stopwords, parse_words, part_ngrams, stopword_frame, token_pairs, token_words
+from lexibond.plans.pipeline import counted_steps, run, scored_pairs, top_pairs, top_pairs_of_steps
+from lexibond.sources import (
+    STOPWORDS, conversation_tokens, document_tokens, parse_pairs, parse_stopwords, parse_words, part_ngrams, part_steps, read_ngrams, read_tsv,
+    stopword_frame, token_pairs, token_steps, token_words, write_parquet, write_sequence_file, write_tsv,
+)
 from lexibond.sources.corpus import part_pairs, part_words
+from lexibond.sources.work import workspace
 
 #: Scores are rounded before ranking, so that two engines' logarithms rank alike.
 DIGITS = 6
@@ -33,6 +37,10 @@ def _doc_pairs(spark: SparkSession, sf_dir: str, stop: bool) -> DataFrame:
     return drop_stopwords(pairs, stopword_frame(spark), ("w1", "w2")) if stop else pairs
 
 
+def _doc_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_steps(_doc_tokens(spark, sf_dir))
+
+
 def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _read(spark, sf_dir, "documents")[0].select(F.explode(F.split("text", r"\s+")).alias("raw"))
     return raw.select(clean_token(F.col("raw")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
@@ -70,18 +78,91 @@ def parse_word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", "decade", "w").agg(F.sum("occ").alias("occ"), F.count("*").alias("n_rows"))
 
 
+def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_ngrams(*_read(spark, sf_dir, "lineitem", "orders", "part"))
+
+
 def _part_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ngrams = part_ngrams(*_read(spark, sf_dir, "lineitem", "orders", "part"))
+    ngrams = _part_names(spark, sf_dir)
     return part_words(ngrams), part_pairs(ngrams)
 
 
 def _margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_margins(bigram_counts(_doc_pairs(spark, sf_dir, True)), unigram_counts(_doc_words(spark, sf_dir, True)))
+    words, pairs = counted_steps(_doc_steps(spark, sf_dir), stopword_frame(spark))
+    return attach_margins(pairs, words)
+
+
+def _first_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, pairs = counted_steps(_doc_steps(spark, sf_dir), stopword_frame(spark))
+    return attach_first(pairs, words)
 
 
 def llr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, pairs = _part_inputs(spark, sf_dir)
-    return score(attach_margins(bigram_counts(pairs), unigram_counts(words)), DIGITS)
+    words, pairs = counted_steps(part_steps(_part_names(spark, sf_dir)))
+    return score(attach_margins(pairs, words), DIGITS)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return workspace(spark, f"query-{name}")
+
+
+def _read_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part lines written to sequence files in two folders, one of which is Hebrew by its name; read in one call."""
+    lines, base = _part_lines(spark, sf_dir).select("value"), _folder(spark, "sequence")
+    for name, own in (("eng-2gram", "value like '%a%'"), ("heb-2gram", "not (value like '%a%')")):
+        write_sequence_file(lines.where(own), f"{base}/{name}")
+    rows = read_ngrams(spark, f"{base}/*-2gram", 2, "sequencefile")
+    return rows.groupBy("lang", "decade", "w1", "w2").agg(F.sum("occ").alias("occ"), F.count("*").alias("n_rows"))
+
+
+def _read_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as text of one language and parquet of another, united."""
+    lines, base = _part_lines(spark, sf_dir).select("value"), _folder(spark, "languages")
+    lines.write.text(f"{base}/english")
+    lines.write.text(f"{base}/other")
+    rows = read_ngrams(spark, {"EN": f"{base}/english", "HE": f"{base}/other"}, 1)
+    return rows.groupBy("lang", "decade", "w").agg(F.sum("occ").alias("occ"), F.count("*").alias("n_rows"))
+
+
+def _parse_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = Observation("parse")
+    parse_pairs(_part_lines(spark, sf_dir), stats).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(sorted(stats.get.items()), "counter string, n bigint")
+
+
+def _write_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "tsv")
+    write_tsv(QUERIES["top_pairs_parts"](spark, sf_dir), path)
+    return read_tsv(spark, path)
+
+
+def _write_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "parquet")
+    write_parquet(QUERIES["top_pairs_parts"](spark, sf_dir), path)
+    return spark.read.schema("w1 string, w2 string, llr double, rank int, lang string, decade int").parquet(path)
+
+
+def _stage_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and sums of the tables that a run leaves, and what it observed."""
+    path, words, pairs = _folder(spark, "stages"), *_part_inputs(spark, sf_dir)
+    seen = run(words, pairs, lambda df: write_parquet(df, f"{path}/top"), k=5, digits=DIGITS, stages=path)
+    sums = {"words": "c", "sizes": "n", "pairs": "c12", "scored": "cast(1 as bigint)"}
+    out = spark.createDataFrame([(f"observed {k}", v, v) for k, v in seen.items()], "stage string, n_rows bigint, total bigint")
+    for name, column in sums.items():
+        out = out.unionByName(spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n_rows"), F.expr(f"sum({column})").alias("total")).withColumn("stage", F.lit(name)))
+    return out
+
+
+def _stop_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language but Hebrew takes the English list."""
+    words = token_words(_doc_tokens(spark, sf_dir))
+    return unigram_counts(drop_stopwords(words, stopword_frame(spark, {"EN": STOPWORDS["en"]}), ("w",), fallback=True))
+
+
+def _trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names within controls and spaces, with a part of speech."""
+    name = F.concat(F.lit("\x01 \t"), F.col("p_name"), F.lit("_NOUN_X\x1f "))
+    return _read(spark, sf_dir, "part")[0].select("p_partkey", clean_token(name).alias("w"))
 
 
 def _paths(spark: SparkSession) -> DataFrame:
@@ -109,13 +190,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_size": lambda s, d: corpus_size(unigram_counts(_doc_words(s, d, False))),
     "stopword_filtered_unigrams": lambda s, d: unigram_counts(_doc_words(s, d, True)),
     "stopword_filtered_bigrams": lambda s, d: bigram_counts(_doc_pairs(s, d, True)),
-    "pairs_with_c1": lambda s, d: attach_first(bigram_counts(_doc_pairs(s, d, True)), unigram_counts(_doc_words(s, d, True))),
+    "stopword_fallback": _stop_fallback,
+    "trim_controls": _trimmed,
+    "pairs_with_c1": _first_margins,
     "pairs_with_margins": _margins,
     "llr_scores": llr_scores,
     "top_k_llr": lambda s, d: top_k(llr_scores(s, d), 5),
-    "top_pairs_parts": lambda s, d: top_pairs(*_part_inputs(s, d), k=10, digits=DIGITS),
-    "top_pairs_documents": lambda s, d: top_pairs_of_text(_doc_tokens(s, d), stopword_frame(s), 100, DIGITS),
-    "top_pairs_conversations": lambda s, d: top_pairs_of_text(conversation_tokens(_read(s, d, "conversations")[0]), None, 100, DIGITS),
+    "top_pairs_parts": lambda s, d: top_pairs_of_steps(part_steps(_part_names(s, d)), k=10, digits=DIGITS),
+    "top_pairs_counted": lambda s, d: top_pairs(*_part_inputs(s, d), k=10, digits=DIGITS),
+    "scored_by_row": lambda s, d: scored_pairs(*_part_inputs(s, d), digits=DIGITS),
+    "top_pairs_documents": lambda s, d: top_pairs_of_steps(_doc_steps(s, d), stopword_frame(s), 100, DIGITS),
+    "top_pairs_conversations": lambda s, d: top_pairs_of_steps(token_steps(conversation_tokens(_read(s, d, "conversations")[0])), None, 100, DIGITS),
+    "read_sequence_files": _read_sequence_files,
+    "read_languages": _read_languages,
+    "parse_counters": _parse_counters,
+    "write_read_tsv": _write_tsv,
+    "write_read_parquet": _write_parquet,
+    "stage_outputs": _stage_outputs,
 }
 
 
@@ -200,11 +291,24 @@ ORACLES: dict[str, str] = {
     "corpus_size": f"SELECT lang, decade, count(*) AS n FROM ({_words_sql(_ARRAYS, False)}) GROUP BY lang, decade",
     "stopword_filtered_unigrams": _uni_sql(_words_sql(_ARRAYS, True)),
     "stopword_filtered_bigrams": _bi_sql(_pairs_sql(_ARRAYS, True)),
+    "stopword_fallback": _uni_sql(_words_sql(_ARRAYS, False) + f" AND w NOT IN ({', '.join(repr(w) for w in STOPWORDS['en'].split())})"),
+    "trim_controls": f"SELECT p_partkey, {_clean("chr(1) || ' ' || chr(9) || p_name || '_NOUN_X' || chr(31) || ' '")} AS w FROM part",
     "pairs_with_c1": f"SELECT lang, decade, w1, w2, c12, c1 FROM ({_margins_sql(_words_sql(_ARRAYS, True), _pairs_sql(_ARRAYS, True))})",
     "pairs_with_margins": _margins_sql(_words_sql(_ARRAYS, True), _pairs_sql(_ARRAYS, True)),
     "llr_scores": _PART_LLR,
     "top_k_llr": _top_sql(_PART_LLR, 5),
     "top_pairs_parts": _top_sql(_PART_LLR, 10),
+    "top_pairs_counted": _top_sql(_PART_LLR, 10),
+    "scored_by_row": _PART_LLR,
+    "read_sequence_files": f"SELECT CASE WHEN line LIKE '%a%' THEN 'EN' ELSE 'HE' END AS lang, decade, lower(split_part(p_name, ' ', 1)) AS w1, lower(split_part(p_name, ' ', 2)) AS w2, CAST(sum(occ) AS BIGINT) AS occ, count(*) AS n_rows FROM (SELECT *, p_name AS line FROM ({_GOOD})) GROUP BY ALL",
+    "read_languages": f"SELECT l.lang, decade, lower(p_name) AS w, CAST(sum(occ) AS BIGINT) AS occ, count(*) AS n_rows FROM ({_GOOD}) g, (VALUES ('EN'), ('HE')) l(lang) GROUP BY ALL",
+    "parse_counters": f"SELECT counter, n FROM (SELECT count(*) AS lines, count(*) FILTER (l_orderkey % 7 = 0) AS short, count(*) FILTER (l_orderkey % 7 = 1) AS bad_year, CAST(0 AS BIGINT) AS bad_count, count(*) FILTER (l_orderkey % 7 = 2) AS not_positive FROM {_JOINED}) UNPIVOT (n FOR counter IN (lines, short, bad_year, bad_count, not_positive))",
+    "write_read_tsv": f"SELECT lang, decade, w1, w2, llr FROM ({_top_sql(_PART_LLR, 10)})",
+    "write_read_parquet": _top_sql(_PART_LLR, 10),
+    "stage_outputs": f"""WITH words AS MATERIALIZED ({_uni_sql(_PART_WORDS)}), pairs AS MATERIALIZED ({_margins_sql(_PART_WORDS, _PART_PAIRS)}), scored AS MATERIALIZED ({_PART_LLR})
+        SELECT 'words' AS stage, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS total FROM words UNION ALL SELECT 'sizes', count(DISTINCT (lang, decade)), CAST(sum(c) AS BIGINT) FROM words
+        UNION ALL SELECT 'pairs', count(*), CAST(sum(c12) AS BIGINT) FROM pairs UNION ALL SELECT 'scored', count(*), count(*) FROM scored
+        UNION ALL SELECT 'observed scored', count(*), count(*) FROM scored UNION ALL SELECT 'observed kept', count(*), count(*) FROM ({_top_sql("SELECT * FROM scored", 5)})""",
     "top_pairs_documents": _top_sql(_llr_sql(_margins_sql(_words_sql(_ARRAYS, True), _pairs_sql(_ARRAYS, True))), 100),
     "top_pairs_conversations": _top_sql(_llr_sql(_margins_sql(_words_sql(_CONV, False), _pairs_sql(_CONV, False))), 100),
 }

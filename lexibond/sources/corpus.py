@@ -12,10 +12,14 @@ def _tokens(df: DataFrame, lang: Column, year: Column, text: Column) -> DataFram
     return df.select(lang.alias("lang"), decade(year).alias("decade"), toks.alias("toks"))
 
 
+#: Input below this many bytes is dealt to all cores where one file part holds it all.
+SMALL_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt to all cores, if their source has fewer splits than there are cores; else as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A small table dealt to all cores, as a file part can't be split; larger ones as they are, whatever their splits."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
 def document_tokens(documents: DataFrame) -> DataFrame:
@@ -43,6 +47,16 @@ def token_pairs(tokens: DataFrame) -> DataFrame:
     return out.where("w1 <> '' and w2 <> ''")
 
 
+def token_steps(tokens: DataFrame) -> DataFrame:
+    """``lang, decade, w1, w2, occ``: a row for each non-empty token, with the token after it or ''.
+
+    Both counts come from these: a token is the first of exactly one row, and the pairs are the rows with both.
+    """
+    toks = F.col("toks")
+    step = F.transform(toks, lambda w, i: F.struct(w.alias("w1"), F.coalesce(F.get(toks, i + 1), F.lit("")).alias("w2")))
+    return tokens.select("lang", "decade", F.inline(step), F.lit(1).cast("bigint").alias("occ")).where("w1 <> ''")
+
+
 def part_ngrams(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
     """``ngram, year, occ``: part names by order year, weighted with the quantity."""
     rows = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -51,6 +65,16 @@ def part_ngrams(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> Data
     )
 
 
+def part_steps(ngrams: DataFrame) -> DataFrame:
+    """``token_steps`` of part names: the first word with the second, and the second with none. Equal names are summed up first."""
+    rows = ngrams.where("occ > 0").groupBy("ngram", decade(F.col("year")).alias("decade")).agg(F.sum("occ").alias("occ"))
+    ws = split_pair(F.col("ngram"))
+    word = lambda i: clean_token(F.coalesce(F.get(ws, F.lit(i)), F.lit("")))
+    rows = rows.select("decade", "occ", word(0).alias("a"), word(1).alias("b"))
+    steps = F.array(F.struct(F.col("a").alias("w1"), F.col("b").alias("w2")), F.struct(F.col("b").alias("w1"), F.lit("").alias("w2")))
+    return rows.select(F.lit("EN").alias("lang"), "decade", F.inline(steps), "occ").where("w1 <> ''")
+
+
 def part_words(ngrams: DataFrame) -> DataFrame:
     """``lang, decade, w, occ``: each of the two words of a part name."""
     rows = ngrams.select(decade(F.col("year")).alias("decade"), F.explode(F.slice(split_pair(F.col("ngram")), 1, 2)).alias("w"), "occ")

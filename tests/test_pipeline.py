@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import Observation
 
 from lexibond.operators import attach_margins, bigram_counts, corpus_size, drop_stopwords, top_k, unigram_counts
-from lexibond.plans.pipeline import run, scored_pairs, top_pairs
-from lexibond.sources import stopword_frame, write_tsv
+from lexibond.plans.pipeline import counted, counted_steps, run, scored_pairs, top_pairs, top_pairs_of_steps
+from lexibond.sources import stopword_frame, token_pairs, token_steps, token_words, write_tsv
 
 WORDS = "lang string, decade int, w string, occ bigint"
 PAIRS = "lang string, decade int, w1 string, w2 string, occ bigint"
@@ -60,7 +60,7 @@ def test_margins(spark):
 
 def test_run(spark, tmp_path):
     words, pairs = frames(spark)
-    assert run(words, pairs, lambda df: write_tsv(df, str(tmp_path / "out")), k=5) == {"scored": 1}
+    assert run(words, pairs, lambda df: write_tsv(df, str(tmp_path / "out")), k=5) == {"scored": 1, "kept": 1}
     assert spark.read.text(str(tmp_path / "out")).first()[0].startswith("EN\t1990\ta b\t26.75")
     stats = Observation("x")
     top_pairs(words, pairs, stats=stats).collect()
@@ -69,3 +69,26 @@ def test_run(spark, tmp_path):
 
 def test_empty(spark):
     assert top_pairs(spark.createDataFrame([], WORDS), spark.createDataFrame([], PAIRS)).count() == 0
+
+
+def test_one_pass_gives_both_counts(spark):
+    """Steps give the counts of words and pairs, with and without stop words, and the plan reads their exchange twice."""
+    texts = [("en", 1990, ["a", "b", "", "a", "b", "c"]), ("en", 1990, ["c"]), ("de", 2000, []), ("de", 2000, ["x", "x", "x"]), ("en", 1990, ["", ""])]
+    tokens = spark.createDataFrame(texts, "lang string, decade int, toks array<string>").repartition(3)
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    for stop in (None, stopword_frame(spark, {"en": "b", "de": "q"})):
+        unigrams, bigrams = counted_steps(token_steps(tokens), stop)
+        words, pairs = counted(token_words(tokens), token_pairs(tokens), stop)
+        assert rows(unigrams) == rows(words) and rows(bigrams) == rows(pairs)
+    top = top_pairs_of_steps(token_steps(tokens), stopword_frame(spark, {"en": "b"}))
+    top.collect()
+    assert "ReusedExchange" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stage_outputs(spark, tmp_path):
+    words, pairs = frames(spark)
+    got = []
+    seen = run(words, pairs, lambda df: got.extend(df.collect()), k=5, stages=str(tmp_path / "st"))
+    assert seen == {"scored": 1, "kept": 1} and len(got) == 1
+    assert {p.name for p in (tmp_path / "st").iterdir()} == {"words", "sizes", "pairs", "scored"}
+    assert spark.read.parquet(str(tmp_path / "st" / "sizes")).first()["n"] == 1000

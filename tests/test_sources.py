@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import Observation
 
-from lexibond.sources import parse_pairs, parse_stopwords, parse_words, read_ngrams, read_stopwords, write_parquet, write_tsv
+from lexibond.sources import parse_pairs, parse_stopwords, parse_words, read_ngrams, read_stopwords, write_parquet, write_sequence_file, write_tsv
 
 LINES = ["fish\t1990\t5\t3\t2", "fish\t 1990 \t+5", "fish\t1990", "fish\t1990.7\t5", "fish\t1990\t1e3", "fish\t1990\t", "fish\t1990\t0", "fish\t1990\t-2", "...\t1990\t5", "foo bar\t2001\t1", "fish\t99999999999\t1", ""]
 PAIRS = ["fish\t1990\t5", "red fish pond\t1990\t5", "the fish\t1990\t5", "red ...\t1990\t1", " red fish\t1990\t1", "red\tfish\t1990\t5", "Red_ADJ Fish_NOUN\t1999\t7\t1"]
@@ -48,3 +49,18 @@ def test_sinks(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "tsv")).collect()] == ['HE\t1990\tצה"ל x\t1.5']
     write_parquet(df, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq")).where("lang = 'HE' and decade = 1990").count() == 1
+
+
+def test_sequence_files_need_no_python(spark, tmp_path):
+    for name, n in (("eng-a", 3000), ("heb-b", 2500)):
+        write_sequence_file(spark.range(n).selectExpr(f"concat('word', id, '\\t1990\\t', id + 1) as value").repartition(3), str(tmp_path / name))
+    rows = read_ngrams(spark, f"{tmp_path}/*-?", 1, "sequencefile")
+    assert {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()} == {"EN": 3000, "HE": 2500}
+    assert "Python" not in rows._jdf.queryExecution().toString()
+    assert read_ngrams(spark, f"{tmp_path}/none-*", 1, "sequencefile").count() == 0
+
+
+def test_parse_counters(spark):
+    stats = Observation("lines")
+    parse_words(spark.createDataFrame([("EN", x) for x in [*LINES, None]], "lang string, value string"), stats).collect()
+    assert stats.get == {"lines": 13, "short": 3, "bad_year": 2, "bad_count": 2, "not_positive": 2}
