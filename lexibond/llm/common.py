@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: White space of the contracts: a space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes handed to a Python worker at a time; long texts make the second the binding one.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 #: Folders of this process that are still there, with the session each was made by.
@@ -132,6 +132,31 @@ def _sweep() -> None:
             remove(spark, path)
 
 
+#: Rows of a table that is broadcast, at most; a longer one is joined by a shuffle. With 100 bytes a row that is 50 MB.
+FEW = 500_000
+#: A key with more rows than this, and than ``SHARE`` of all, is hot; so there are at most 1 / SHARE hot keys.
+HOT, SHARE = 100, 1e-5
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``written`` rows, marked for a broadcast if they are counted to be few."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has a row for each key, with the number of its rows.
+
+    Hot keys' groups are broadcast, 100,000 at most, and their rows stay where they are; the others are shuffled.
+    """
+    most = max(HOT, total * SHARE)
+    columns = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) > most).select(key, F.struct(*columns).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    own = marked.where("_hot is not null").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in columns))
+    others = marked.where("_hot is null").drop("_hot").hint("merge").join(groups.where(F.col(size) <= most), key)
+    return own.unionByName(others.select(*rows.columns, *columns))
+
+
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, summed over all rows (a column scan without a shuffle of rows)."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"]

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import create_small, forget, lower_ascii, names, read_small, remove, setting, workspace, written
+from lexibond.llm.common import create_small, few, forget, join_groups, lower_ascii, names, read_small, remove, setting, workspace, written
 
 #: Bytes that a bucket should have, bytes of a row, runs from which an index is merged, and the layout's number.
 BUCKET_BYTES, ROW_BYTES, RUNS, FORMAT = 128 << 20, 40, 8, 1
@@ -128,15 +128,15 @@ def _judged(docs: DataFrame, index: DigestIndex, key: str, text: str) -> DataFra
     with setting(docs.sparkSession, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
         kept = written(index.matches(groups.select("digest", "group_size")), "kept")
     forget(groups)
-    return rows.hint("merge").join(kept, "digest")
+    return join_groups(rows, kept, "digest", "group_size", rows.count())
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, keep_id, group_size, kept, text_sha256`` for every row; new digests go into the index.
 
     Of equal texts in ``docs`` the row with the largest key stays, unless the index has the text already: then
-    its row stays and all of these go. Only digests are shuffled, summed up before; the join that gives each row
-    its group is one that adaptive execution can split, for texts that a third of all rows share.
+    its row stays and all of these go. Only digests are shuffled, summed up before; rows of a text that many rows share
+    get their group by a broadcast of such groups.
 
     Null text is empty. Rows with the same key are one document: all stay or all go (group_size counts rows). A null
     key is smaller than any other; a group of nulls keeps its rows. An empty table gives no rows. Other columns are
@@ -186,7 +186,7 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     found = written(rows.where("not kept or n > 1"), "copies")
     docs = docs.withColumn("_own", digest_of(F.col(text)))
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_digest"))
-    out = docs.join(found, same, "left_anti")
+    out = docs.join(few(found), same, "left_anti")
     again = found.where("kept")
     if not again.isEmpty():
         out = out.unionByName(docs.join(again, same, "left_semi").dropDuplicates([key, "_own"]))

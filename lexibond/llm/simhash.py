@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import joined, map_text, small_batches, written
+from lexibond.llm.common import few, join_groups, joined, map_text, small_batches, written
 from lexibond.llm.components import components
 
 #: Words in a shingle, seed of its hash, and bits by which linked fingerprints may differ.
@@ -172,11 +172,11 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     gives no rows. Other columns are ignored.
     """
     rows = written(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "id"), "fingerprints")
-    classes = written(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    links = fingerprint_links(classes, distance, bucket)
+    classes = written(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    links = fingerprint_links(classes.where("rep is not null"), distance, bucket)
     roots = components(links)
-    out = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = rows.hint("merge").join(written(out, "members"), "fp", "left")
+    members = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
+    out = join_groups(rows, written(members, "members"), "fp", "n", rows.count())
     component = F.when(F.col("id").isNotNull(), F.col("component_id"))
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
@@ -184,4 +184,4 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the smallest key of their group or no key."""
     groups = near_groups(docs, key=key, text=text, **options).where(f"{key} <> component_id").select(F.col(key).alias("_key"))
-    return docs.join(written(groups.distinct(), "near-copies"), F.col(key) == F.col("_key"), "left_anti")
+    return docs.join(few(written(groups.distinct(), "near-copies")), F.col(key) == F.col("_key"), "left_anti")
