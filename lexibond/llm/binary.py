@@ -24,7 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import input_bytes, pieces_of, small_batches, space_dropped_pieces, spaced_pieces, workspace
+from lexibond.llm.common import input_bytes, pieces_of, small_batches, space_dropped_pieces, spaced_pieces
+from lexibond.sources.work import workspace
 
 MAGIC = b"IDPLANE2"
 FOOTER = struct.Struct("<QQQQQBB8s")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import forget, written
+from lexibond.sources.work import forget, written
 
 #: A node with more neighbours than this, and than ``SHARE`` of the edges, is a hub; so there are at most 2 / SHARE hubs.
 HUB, SHARE = 100, 1e-5

@@ -6,7 +6,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import create_small, few, forget, join_groups, lower_ascii, names, read_small, remove, setting, workspace, written
+from lexibond.llm.common import create_small, few, join_groups, lower_ascii, names, read_small, setting
+from lexibond.sources.work import forget, remove, workspace, written
 
 #: Bytes that a bucket should have, bytes of a row, runs from which an index is merged, and the layout's number.
 BUCKET_BYTES, ROW_BYTES, RUNS, FORMAT = 128 << 20, 40, 8, 1

@@ -10,8 +10,8 @@ squares exceed 1 - cosine²) can't reach the cosine, nor can one whose shared wo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import forget, written
 from lexibond.llm.licence_texts import templates
+from lexibond.sources.work import forget, written
 
 #: Least cosine, and what the conditions leave for rounding.
 COSINE, SLACK = 0.75, 1e-3

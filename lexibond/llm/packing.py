@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import pieces_of, small_batches, spaced_pieces, written
+from lexibond.llm.common import pieces_of, small_batches, spaced_pieces
+from lexibond.sources.work import written
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 2048, 256, 2048

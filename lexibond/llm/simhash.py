@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import few, join_groups, joined, map_text, small_batches, written
+from lexibond.llm.common import few, join_groups, joined, map_text, small_batches
 from lexibond.llm.components import components
+from lexibond.sources.work import written
 
 #: Words in a shingle, seed of its hash, and bits by which linked fingerprints may differ.
 SHINGLE, SEED, DISTANCE = 4, 42, 4

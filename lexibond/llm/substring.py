@@ -21,7 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import input_bytes, small_batches, workspace
+from lexibond.llm.common import input_bytes, small_batches
+from lexibond.sources.work import workspace
 
 WINDOW = 20
 #: Text bytes of a segment, and hashes of a hash range that one task compares.

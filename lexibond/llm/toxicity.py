@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import filter_text, forget, map_text, written
+from lexibond.llm.common import filter_text, map_text
+from lexibond.sources.work import forget, written
 
 #: Words and their first ``PREFIX`` letters are hashed to this many buckets each; only buckets in ``MIN_DOCS`` sampled
 #: texts or more get an embedding. A word whose bucket has none takes that of its first letters.

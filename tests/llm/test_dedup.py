@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexibond.llm import exact, simhash, substring
-from lexibond.llm.common import create_small, names, read_small, setting, workspace
+from lexibond.llm.common import create_small, names, read_small, setting
 from lexibond.llm.components import components
+from lexibond.sources.work import workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, digest string, fp string, seg string, key string, n string"
