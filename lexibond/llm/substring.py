@@ -1,10 +1,10 @@
 """Repeated passages: fixed-block anchors, rolling probes, extension to maximal exact repeats.
 
-Words are numbers (64 bits of a keyed BLAKE2b). Reference blocks are ``window // 2`` consecutive words at multiples of
-that length: every window holds one whole. All documents' blocks are indexed; every rolling position probes that index.
-A hit that isn't a block's meeting with itself is extended: the windows around it are compared by a 128-bit BLAKE2b
-digest of their very words, and those that start earlier elsewhere mark their words. Overlapping windows together are the
-maximal repeat. The numbers of words and blocks only find candidates; what is removed rests on the digests of the texts.
+Words are numbers. Reference blocks are ``window // 2`` consecutive words at multiples of that length: every window holds
+one whole. All documents' blocks are indexed; every rolling position probes that index. A hit that isn't a block's meeting
+with itself is extended: the windows around it are compared by a 128-bit BLAKE2b digest of their very words, and those that
+start earlier elsewhere mark their words. Overlapping windows together are the maximal repeat. Numbers of words and hashes of
+blocks, equal for equal words, only find candidates; what is removed rests on those digests, and within a segment on the words.
 
 Texts are dealt to segments once. Between the steps only sorted hashes travel, packed by segment and hash range and each
 hash once a segment, so neither a passage that a third of all documents share nor one repeated word makes a large group.
@@ -29,20 +29,44 @@ WINDOW = 20
 SEGMENT_BYTES, RANGE_HASHES = 6 << 20, 3_000_000
 #: Bits of a block hash that travel; a chance meeting of two only costs an extension that finds nothing.
 BITS = 48
-#: Words whose numbers a worker holds.
-HELD = 500_000
+#: Text bytes whose words are numbered at a time.
+CHUNK = 1 << 20
+_RATIO = 0x2545F4914F6CDD1D
+_LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_SPACE = bytes(int(x in b" \t\n\x0b\x0c\r") for x in range(256))
+_PLAIN = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
-_numbers: dict[bytes, int] = {}
 
+def _powers(ratio: int, n: int) -> np.ndarray:
+    out = np.full(n, ratio, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-def word_numbers(words: list[bytes]) -> np.ndarray:
-    """64-bit numbers of words; a word's bytes can't be chosen so that they meet another's but by search."""
-    for w in set(words).difference(_numbers):
-        _numbers[w] = int.from_bytes(blake2b(w, digest_size=8, key=b"words").digest(), "little")
-    out = np.fromiter(map(_numbers.__getitem__, words), np.uint64, len(words))
-    if len(_numbers) > HELD:
-        _numbers.clear()
-    return out
+
+def word_numbers(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, ends and 64-bit numbers of the words of a text that ends in white space.
+
+    A number is a polynomial over random numbers of a word's bytes; all words of a chunk are cut out of one running sum.
+    """
+    starts, ends, numbers, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    up = down = np.zeros(0, np.uint64)
+    while at < len(text):
+        end = at + CHUNK
+        while end < len(text) and text[end - 1] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        part = text[at:end]
+        if len(up) < len(part):
+            up, down = _powers(_RATIO, len(part)), _powers(pow(_RATIO, -1, 1 << 64), len(part))
+        space = np.frombuffer(part.translate(_SPACE), np.uint8)
+        edge = np.flatnonzero(np.diff(space, prepend=1))
+        first, last = edge[0::2], edge[1::2]
+        total = np.cumsum(_LETTERS[np.frombuffer(part, np.uint8)] * up[: len(part)], dtype=np.uint64)
+        total = np.r_[np.uint64(0), total]
+        starts.append(first + at)
+        ends.append(last + at)
+        numbers.append(_mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+        at = end
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(numbers)
 
 
 def among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -109,12 +133,13 @@ class Segment:
         rows = rows.sort_values(["known", "doc_id", "copy"], kind="stable")
         self.known, self.keys = rows["known"].to_numpy(np.uint8), rows["doc_id"].to_numpy(np.int64)
         self.window = window
-        split = [(t or "").encode().split() for t in rows["text"]]
-        self.size = np.fromiter(map(len, split), np.int64, len(split))
-        self.words = [w for ws in split for w in ws]
-        self.hashes = word_numbers(self.words)
+        self.texts = [(t or "").encode() for t in rows["text"]]
+        self.text = (b"\n".join(self.texts) + b"\n").translate(_PLAIN)
+        self.begin, self.end, self.hashes = word_numbers(self.text)
+        bounds = np.cumsum([len(t) + 1 for t in self.texts])
+        doc, place = np.searchsorted(bounds, self.begin, "right"), np.arange(len(self.begin))
+        self.size = np.bincount(doc, minlength=len(self.texts)).astype(np.int64)
         self.first = np.r_[0, np.cumsum(self.size)]
-        doc, place = np.repeat(np.arange(len(split)), self.size), np.arange(len(self.words))
         #: Words from each place to the end of its document, and to it from its start.
         self.left = self.first[doc + 1] - place
         self.at = place - self.first[doc]
@@ -141,32 +166,27 @@ class Segment:
         np.add.at(mark, np.minimum(hits + 1, total), -1)
         return np.flatnonzero((np.cumsum(mark)[:total] > 0) & (self.left >= self.window))
 
+    def windows(self, places: np.ndarray) -> Iterator[bytes]:
+        """The words of the windows at ``places``, joined by single spaces."""
+        text, n = self.text, self.window
+        long = np.r_[0, np.cumsum(self.end - self.begin)]
+        begin, end = self.begin[places], self.end[places + n - 1]
+        plain = end - begin == long[places + n] - long[places] + n - 1  # one space between any two words
+        for i, j, ok in zip(begin.tolist(), end.tolist(), plain.tolist(), strict=True):
+            yield text[i:j] if ok else b" ".join(text[i:j].split())
+
     def repeats(self, told: np.ndarray) -> np.ndarray:
         """Further places of windows that hold the same words as one of those at ``told``."""
         h = self._rolling(self.window, 0x9E3779B97F4A7C15)
         at = np.flatnonzero(self.left >= self.window)
         at = np.setdiff1d(at[among(h[at], h[told])], told, assume_unique=True)
-        order = np.argsort(h[told], kind="stable")
-        sorted_h = h[told][order]
-        lo, hi = np.searchsorted(sorted_h, h[at], "left"), np.searchsorted(sorted_h, h[at], "right")
-        number = {w: i for i, w in enumerate(set(self.words))}
-        own = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
-        out = np.full(len(at), -1)
-        for k in range(int((hi - lo).max(initial=0))):  # once but for a chance meeting of hashes
-            i = np.flatnonzero((out < 0) & (lo + k < hi))
-            which = order[lo[i] + k]
-            same = np.ones(len(i), bool)
-            for j in range(self.window):
-                same &= own[at[i] + j] == own[told[which] + j]
-            out[i[same]] = which[same]
-        return at[out >= 0]
+        told = told[among(h[told], h[at])]
+        known = set(self.windows(told)) if len(at) else set()
+        return at[np.fromiter((w in known for w in self.windows(at)), bool, len(at))]
 
     def digests(self, places: np.ndarray) -> np.ndarray:
-        """The digests, as two numbers, of the words of the windows at ``places``, joined by spaces."""
-        whole = memoryview(b" ".join(self.words))
-        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
-        starts = np.r_[0, ends[:-1] + 1]
-        out = b"".join([blake2b(whole[i:j], digest_size=16).digest() for i, j in zip(starts[places].tolist(), ends[places + self.window - 1].tolist(), strict=True)])
+        """The digests, as two numbers, of the words of the windows at ``places``."""
+        out = b"".join([blake2b(w, digest_size=16).digest() for w in self.windows(places)])
         return np.frombuffer(out, "<u8").reshape(-1, 2)
 
 
@@ -286,8 +306,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
             np.add.at(gone, repeat + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
         out = []
-        for has_key, key_of, f, n in zip(seg.known.tolist(), seg.keys.tolist(), seg.first.tolist(), seg.size.tolist(), strict=False):
-            drop, words = gone[f : f + n], seg.words[f : f + n]
+        for has_key, key_of, text_of, f, n in zip(seg.known.tolist(), seg.keys.tolist(), seg.texts, seg.first.tolist(), seg.size.tolist(), strict=False):
+            drop, words = gone[f : f + n], text_of.split()
             removed = int(drop.sum())
             kept = b" ".join(compress(words, (~drop).tolist()) if removed else words)
             row = (has_key, key_of, n, removed, hashlib.sha256(kept).hexdigest())
