@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of this process that are still there, with the session each was made by.
+#: Folders and tables of this process that are still there, with the session each was made by.
 _folders: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,12 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
+def table_at(spark: SparkSession, table: str) -> str:
+    """Name a table of intermediate rows that the catalog forgets when the process ends."""
+    _tables[table] = spark
+    return table
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read back: later steps and retries start from the files."""
     path = workspace(df.sparkSession, name)
@@ -63,6 +70,9 @@ def store(spark: SparkSession, path: str):
 def _sweep() -> None:
     """Delete what is left when the process ends."""
     with contextlib.suppress(Exception):  # the JVM may have gone first
+        while _tables:
+            table, spark = _tables.popitem()
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         while _folders:
             path, spark = _folders.popitem()
             remove(spark, path)
