@@ -172,7 +172,11 @@ def dedup_second_batch(docs: DataFrame) -> DataFrame:
     exact_dedup(docs, first)
     first.close()
     changed = docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" (second edition)")).alias("text"))
-    return exact_dedup(docs.select("doc_id", "text").unionByName(changed), DigestIndex(spark, path))
+    second = DigestIndex(spark, path)
+    out = exact_dedup(docs.select("doc_id", "text").unionByName(changed), second)
+    second.close()
+    remove(spark, path)
+    return out
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

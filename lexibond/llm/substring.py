@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexibond.llm.common import input_bytes, small_batches
-from lexibond.sources.work import workspace
+from lexibond.sources.work import table_at, workspace
 
 WINDOW = 20
 #: Text bytes of a segment, and hashes of a hash range that one task compares.
@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     rows = docs.select(has.alias("known"), order.alias("doc_id"), copy.alias("copy"), F.col(text).alias("text"))
     rows = rows.withColumn("seg", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(segments)).cast("int"))
     path = workspace(spark, "segments")
-    table = "segments_" + path.rsplit("-", 1)[-1]
+    table = table_at(spark, "segments_" + path.rsplit("-", 1)[-1])
     # texts are written once by segment: the later steps read them without a shuffle
     rows.repartition(buckets, "seg").write.option("compression", "zstd").bucketBy(buckets, "seg").sortBy("seg").option("path", path).saveAsTable(table)
     held = spark.table(table)
