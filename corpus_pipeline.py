@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexibond.llm import decontam, exact, minhash, packing, toxicity
+from lexibond.llm import decontam, exact, near, packing, toxicity
 from lexibond.sources.work import forget, written
 
 
@@ -31,11 +31,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group linked by five-word shingles of similarity 0.8.
+    """Keep the document with the smallest doc_id of each group of near copies.
 
-    Rows without a doc_id stay; rows that share one are told apart by their texts.
+    SimHash fingerprints of four-word shingles link at 4 or fewer differing bits, as in op9; sets of five-word shingles
+    of similarity 0.8 link as well. Rows without a doc_id stay; rows that share one are told apart by their texts.
     """
-    return minhash.one_of_each(docs)
+    return near.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near copies by Jaccard similarity of word shingles: MinHash bands find candidates, whole shingle sets decide."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,26 +96,36 @@ def set_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> Iterato
                 front.extend(near.tolist())
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, t, h, n, bands``: the row's key and hash of its text, digest and size of its shingle set, band keys."""
+def shingle_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", fingerprint: Callable[[bytes], int] | None = None) -> DataFrame:
+    """``id, t, h, n, bands``: the row's key and hash of its text, digest and size of its shingle set, band keys.
+
+    ``fp`` follows where a function ``fingerprint`` of the text is given. Rows without a key are left out.
+    """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         own = Shingles()
         for b in batches:
-            h, n, keys = [], [], [np.zeros((0, BANDS), np.uint64)]
+            h, n, fps, keys = [], [], [], [np.zeros((0, BANDS), np.uint64)]
             texts = b.column(2).cast(pa.binary())
             for i in range(0, len(texts), 20):  # few sets at a time, which stay in the processor's cache
-                sets = [own.of(x.as_py() or b"") for x in texts[i : i + 20]]
+                some = [x.as_py() or b"" for x in texts[i : i + 20]]
+                if fingerprint is not None:
+                    fps += map(fingerprint, some)
+                sets = [own.of(x) for x in some]
                 h += [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
                 n += [len(s) for s in sets]
                 keys.append(bands(sets))
             keys = np.concatenate(keys).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], ["id", "t", "h", "n", "bands"])
+            codes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([h] if fingerprint is None else [h, fps])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes[0], pa.array(n, pa.int64()), lists, *codes[1:]], names)
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), F.xxhash64(text), F.col(text)).mapInArrow(run, "id bigint, t bigint, h bigint, n bigint, bands array<bigint>")
+    schema = "id bigint, t bigint, h bigint, n bigint, bands array<bigint>" + (", fp bigint" if fingerprint is not None else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), F.xxhash64(text), F.col(text)).mapInArrow(run, schema)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -148,15 +158,13 @@ def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
     yield from work()
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``id, t, h, n, bands`` of each row with a key, and ``h, g``: the group of each shingle set that has near copies.
+def similar_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``u, v``: links between digests of shingle sets that connect all sets of the written ``shingle_rows`` that are similar enough.
 
     Equal sets are one class, of which one row takes part in the search. Classes that share a band are candidates;
     components of those are compared whole, set by set, so the similarity is exact and a pair is missed only if no chain
     of bands connects it.
     """
-    small_batches(docs.sparkSession)
-    rows = written(_rows(docs, key, text), "shingle-rows")
     keys = rows.where("n > 0").select(F.explode("bands").alias("key"), "h")
     shared = written(keys.groupBy("key").agg(F.min("h").alias("m"), F.max("h").alias("most")).where("m <> most").select("key", "m"), "shared-bands")
     edges = keys.join(few(shared), "key").where("h <> m").select(F.col("h").alias("u"), F.col("m").alias("v"))
@@ -166,28 +174,35 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, group: int = GR
     forget(shared)
     blocks = found.groupBy("g").agg(F.sum("n").alias("all")).select("g", F.when(F.col("all") > group, F.ceil(F.col("all") * 2 / group)).otherwise(1).cast("bigint").alias("k"))
     dealt = written(found.join(blocks, "g").select("g", "k", "h", F.col("row.id").alias("id"), F.col("row.t").alias("t")), "dealt")
-    dealt = few(dealt)  # so that only the texts of candidates move
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).join(dealt, ["id", "t"])
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).join(few(dealt), ["id", "t"])  # only the texts of candidates move
     held = written(_sets(texts.select("g", "k", "h", "text")), "shingle-sets")
     sets = held.withColumn("own", F.pmod(F.xxhash64("h"), F.col("k")))
     cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), lambda c: F.least(c, F.col("own")) * F.col("k") + F.greatest(c, F.col("own")))
     cells = sets.select("g", F.explode(cells).alias("cell"), "h", "s").repartition("g", "cell").sortWithinPartitions("g", "cell")
-    links = cells.mapInArrow(lambda b: _links(b, similarity), "u bigint, v bigint")
-    groups = components(links).select(F.col("node").alias("h"), F.col("root").alias("g"))
-    forget(held, found)
-    return rows, groups
+    links = written(cells.mapInArrow(lambda b: _links(b, similarity), "u bigint, v bigint"), "set-links")
+    forget(held, found, dealt)
+    return links
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have the smallest key of their group of near copies, or no key.
+def least_of_groups(docs: DataFrame, rows: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have the smallest key of their group or no key.
 
-    Texts with fewer words than a shingle are one shingle; null and empty texts are near copies of each other alone.
-    Rows that share a key but not a text are told apart. An empty table gives no rows.
+    ``rows`` are the written ``shingle_rows``, deleted here; ``groups`` is ``h, g`` of the sets that are linked to others.
     """
-    rows, groups = near_copies(docs, key=key, text=text, **options)
     found, rows = rows, written(rows.select("id", "t", "h").hint("merge").join(groups, "h", "left").select("id", "t", F.coalesce("g", "h").alias("g")), "groups")
     forget(found)
     least = rows.groupBy("g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("g", "least")
     gone = written(rows.join(least, "g").where("id <> least").select(F.col("id").alias("_key"), F.col("t").alias("_t")).distinct(), "near-copies")
     forget(rows)
     return docs.join(few(gone), (F.col(key) == F.col("_key")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest key of their group of near copies, or no key.
+
+    Texts with fewer words than a shingle are one shingle; null and empty texts are near copies of each other alone.
+    Rows that share a key but not a text are told apart. An empty table gives no rows.
+    """
+    rows = written(shingle_rows(docs, key, text), "shingle-rows")
+    groups = components(similar_links(docs, rows, key=key, text=text, **options)).select(F.col("node").alias("h"), F.col("root").alias("g"))
+    return least_of_groups(docs, rows, groups, key, text)
