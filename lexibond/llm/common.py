@@ -1,6 +1,7 @@
 """Helpers that several operators share."""
 
 import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,6 +26,35 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(run: Callable[[Iterator], Iterator], tokens: bool = False) -> Callable[[Iterator], Iterator]:
+    """A worker's function that gives memory back: idle workers stay for the next stage, and hold what their allocators keep.
+
+    Vocabularies' caches go before the first batch, unless the function is one of those that need them (``tokens``).
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        if not tokens:
+            drop_pieces()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return work
+
+
+def drop_pieces() -> None:
+    """Let the worker's vocabularies go."""
+    _workers.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A session setting for the jobs that run within the block."""
@@ -131,7 +161,7 @@ def map_text(df: DataFrame, key: str, text: str, schema: str, make: Callable[[],
             if (out := work(keys, texts)) is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names)
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text)).mapInArrow(lean(run, tokens=True), schema)
 
 
 def filter_text(docs: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
@@ -144,7 +174,7 @@ def filter_text(docs: DataFrame, text: str, make: Callable[[], Callable[[list[by
         for b in batches:
             yield b.filter(pa.array(keep([x or b"" for x in b.column(place).cast(pa.binary()).to_pylist()]), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def lower_ascii(column) -> F.Column:
@@ -310,7 +340,7 @@ _workers: dict = {}
 
 
 def pieces_of(path: str, cut: Callable[[bytes], list[bytes]], kind: type = Pieces) -> Pieces:
-    """The worker's cache for a vocabulary; it lives on from task to task."""
+    """The worker's cache for a vocabulary; it lives on from task to task, until another operator's ``lean`` function runs."""
     if (key := (path, cut.__name__, kind.__name__)) not in _workers:
         _workers[key] = kind(path, cut)
     return _workers[key]

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexibond.llm.common import lean
 from lexibond.sources.work import forget, written
 
 #: A node with more neighbours than this, and than ``SHARE`` of the edges, is a hub; so there are at most 2 / SHARE hubs.
@@ -56,7 +57,7 @@ def contracted(edges: DataFrame) -> DataFrame:
                 yield stars()
         yield stars()
 
-    return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
+    return edges.select("u", "v").mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def _are_stars(edges: DataFrame) -> bool:

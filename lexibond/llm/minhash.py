@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import few, small_batches
+from lexibond.llm.common import few, lean, small_batches
 from lexibond.llm.components import components
 from lexibond.sources.work import forget, written
 
@@ -125,7 +125,7 @@ def shingle_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", finge
 
     schema = "id bigint, t bigint, h bigint, n bigint, bands array<bigint>" + (", fp bigint" if fingerprint is not None else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), F.xxhash64(text), F.col(text)).mapInArrow(run, schema)
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), F.xxhash64(text), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             sets = [own.of(x or b"").tobytes() for x in b.column(3).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], ["g", "k", "h", "s"])
 
-    return texts.mapInArrow(run, "g bigint, k bigint, h bigint, s binary")
+    return texts.mapInArrow(lean(run), "g bigint, k bigint, h bigint, s binary")
 
 
 def _links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, similarity: float = SIMILARI
     sets = held.withColumn("own", F.pmod(F.xxhash64("h"), F.col("k")))
     cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), lambda c: F.least(c, F.col("own")) * F.col("k") + F.greatest(c, F.col("own")))
     cells = sets.select("g", F.explode(cells).alias("cell"), "h", "s").repartition("g", "cell").sortWithinPartitions("g", "cell")
-    links = written(cells.mapInArrow(lambda b: _links(b, similarity), "u bigint, v bigint"), "set-links")
+    links = written(cells.mapInArrow(lean(lambda b: _links(b, similarity)), "u bigint, v bigint"), "set-links")
     forget(held, found, dealt)
     return links
 

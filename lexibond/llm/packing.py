@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import pieces_of, small_batches, spaced_pieces
+from lexibond.llm.common import lean, pieces_of, small_batches, spaced_pieces
 from lexibond.sources.work import written
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
@@ -154,7 +154,7 @@ def _packed(rows: DataFrame, items, **limits) -> DataFrame:
                 wait = []
 
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run, tokens=True), SCHEMA)
 
 
 def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -213,7 +213,7 @@ def pack_conversations(turns: DataFrame, path: str, end_id: int = 1, role: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 + 1 for x in ids], pa.int64())], ["conv_id", "role", "n"])
 
     small_batches(turns.sparkSession)
-    rows = turns.select(F.col("conv_id").cast("bigint"), F.col("role").cast("string"), F.col("text")).mapInArrow(sizes, "conv_id bigint, role string, n bigint")
+    rows = turns.select(F.col("conv_id").cast("bigint"), F.col("role").cast("string"), F.col("text")).mapInArrow(lean(sizes, tokens=True), "conv_id bigint, role string, n bigint")
     loss = F.sum(F.when(F.col("role") == role, F.col("n")).otherwise(0))
     sums = written(rows.groupBy("conv_id").agg(F.sum("n").alias("tokens"), loss.alias("loss_tokens"), F.count("*").alias("n_turns")), "conversations")
     packed = pack_counts(sums.withColumnRenamed("conv_id", "doc_id"), **limits).select("doc_id", "sequence_id", "offset")

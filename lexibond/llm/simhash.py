@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import few, join_groups, joined, map_text, small_batches
+from lexibond.llm.common import few, join_groups, joined, lean, map_text, small_batches
 from lexibond.llm.components import components
 from lexibond.sources.work import written
 
@@ -161,7 +161,7 @@ def fingerprint_links(classes: DataFrame, distance: int = DISTANCE, bucket: int
         F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), lambda c: F.least(c, F.col("own")) * F.col("k") + F.greatest(c, F.col("own")))
     )
     rows = rows.select("key", F.explode(cells).alias("cell"), "fp", "rep").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return rows.mapInArrow(lambda b: _links(b, distance), "u bigint, v bigint")
+    return rows.mapInArrow(lean(lambda b: _links(b, distance)), "u bigint, v bigint")
 
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, bucket: int = BUCKET, key: str = "doc_id", text: str = "text") -> DataFrame:
