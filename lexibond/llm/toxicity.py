@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import filter_text, map_text
-from lexibond.sources.work import forget, written
+from lexibond.llm.common import filter_text, give_back, map_text
+from lexibond.sources.work import forget, give_back_driver, written
 
 #: Words and their first ``PREFIX`` letters are hashed to this many buckets each; only buckets in ``MIN_DOCS`` sampled
 #: texts or more get an embedding. A word whose bucket has none takes that of its first letters.
@@ -255,7 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got = map_text(rows.select(key, "text").join(ids, key), key, "text", f"{key} bigint, codes binary", make).collect()
     forget(rows)
     got.sort(key=lambda r: r[0])
-    return train([np.frombuffer(r[1], "<i8") for r in got], np.array([int(sample[r[0]] > 0) for r in got]))
+    texts, y = [np.frombuffer(r[1], "<i8") for r in got], np.array([int(sample[r[0]] > 0) for r in got])
+    del got, sizes, sample
+    model = train(texts, y)
+    del texts
+    give_back()
+    give_back_driver(spark)
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders and tables of this process that are still there, with the session each was made by.
@@ -42,11 +44,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read back: later steps and retries start from the files."""
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
+    give_back_driver(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
 
 
+def give_back_driver(spark: SparkSession) -> str:
+    """Return the driver's freed memory to the system, that of its Python and of its JVM; what the JVM says of it.
+
+    Planning and broadcasts run on hundreds of threads, whose C allocators keep what each has freed: 150 MB and more after a
+    few stages. The heap goes back first. A JVM without that command keeps its own.
+    """
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    with contextlib.suppress(Py4JError):
+        jvm.System.gc()
+        kinds, given = array(jvm.Class, 4), array(jvm.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.Class.forName(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given))
+    return ""
+
+
 def forget(*frames: DataFrame | None) -> None:
     """Delete the files of ``written`` rows that no later step reads."""
     for df in frames:

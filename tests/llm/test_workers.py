@@ -6,7 +6,8 @@ import sys
 import public_tokenizers
 import pyarrow as pa
 
-from lexibond.llm import common, packing
+from lexibond.llm import common, packing, toxicity
+from lexibond.sources import work
 
 HOLDS = """
 import re
@@ -50,3 +51,15 @@ def test_vocabularies_are_let_go(spark):
     for _ in range(8):  # every worker that waits gets a turn
         common.filter_text(docs, "text", lambda: lambda texts: [True] * len(texts)).count()
     assert sees() == 0
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    assert "heap" in work.give_back_driver(spark)
+    calls = []
+    for module in (work, toxicity):
+        monkeypatch.setattr(module, "give_back_driver", lambda s: calls.append(s), raising=False)
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(20)], "doc_id bigint, text string")
+    work.forget(work.written(docs, "given-back"))
+    assert len(calls) == 1
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int"))
+    assert len(calls) == 3  # the sample is written, then trained on
