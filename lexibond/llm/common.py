@@ -183,8 +183,8 @@ def lower_ascii(column) -> F.Column:
 
 
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-#: Text bytes whose pieces are looked up together.
-GROUP_BYTES = 1 << 20
+#: Text bytes whose pieces are looked up together: one by one, or each distinct one once.
+GROUP_BYTES, LINE_BYTES = 1 << 20, 2 << 20
 #: White space beyond ASCII, then ASCII white space.
 _MIXED = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[\x20\x09-\x0d]")
 _SPACED = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
@@ -209,6 +209,14 @@ def _cut_marks(text: bytes, kind: bytes, mark: bytes) -> bytes:
     return text
 
 
+def spaced_line(text: bytes) -> bytes | None:
+    """The pieces that ``spaced_pieces`` gives, with a space between; None if some may hold spaces."""
+    kind = text.translate(_CLASS)
+    if b"\x10" in kind or b"\x08\x08" in kind or b"\x20" in kind and any(x in text for x in _WIDE):
+        return None
+    return b"\x01" + _cut_marks(text, kind, b"\x01").replace(b"\n", b" \x00")
+
+
 def spaced_pieces(text: bytes) -> list[bytes]:
     """Cut a text before white space so that byte-level BPE of the pieces gives the ids of the whole; see ``plain``.
 
@@ -238,6 +246,28 @@ def space_dropped_pieces(text: bytes) -> list[bytes]:
     return _cut_marks(text.lower(), kind, b"").split()
 
 
+def space_dropped_line(text: bytes) -> bytes | None:
+    """As of ``spaced_line``, for ``space_dropped_pieces``; empty pieces, which have no ids, may be among them."""
+    kind = text.translate(_CLASS)
+    if b"<|" in text or b"\x10" in kind:
+        return None
+    return _cut_marks(text.lower(), kind, b"").replace(b"\n", b" ")
+
+
+_LINES = {spaced_pieces: spaced_line, space_dropped_pieces: space_dropped_line}
+
+
+def pieces_of_lines(lines: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All lines' pieces as one array, and where each line's end in it."""
+    data = np.frombuffer(b" ".join([*lines, b""]), np.uint8)
+    space = data == 32
+    at = np.flatnonzero(space)
+    offsets = np.zeros(len(at) + 1, np.int32)
+    offsets[1:] = at - np.arange(len(at))
+    ends = np.searchsorted(at, np.cumsum([len(x) + 1 for x in lines]) - 1) + 1
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]), ends
+
+
 def plain(piece: bytes) -> bytes:
     """The text of a piece."""
     first = piece[:1]
@@ -277,22 +307,24 @@ class Pieces:
     def learn(self, pieces: list[bytes]) -> None:
         """Encode pieces and keep their values.
 
-        Pieces of letters and marks are encoded many at a time, with a separator between whose id parts them again. A
-        group that doesn't come out in as many parts, and pieces that hold white space, are encoded piece by piece.
+        Pieces of letters and marks are encoded many at a time, with a separator before each whose id parts them again;
+        where that is a line end, it counts to a piece that starts with one. A group that doesn't come out in as many parts,
+        and pieces that hold white space, are encoded piece by piece.
         """
-        alone = [p for p in pieces if p[:1] in (b"\x00", b"\x02", b"")] if self.between is not None else list(pieces)
+        kinds = b"\x02" if self.separator == "\n" else b"\x00\x02"
+        alone = [p for p in pieces if not p or p[0] in kinds or p == b"\x00"] if self.between is not None else list(pieces)
         if len(alone) < len(pieces):
             others = set(alone)
             rest = [p for p in pieces if p not in others] if alone else pieces
             separator = self.separator.encode()
             groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
-            texts = [separator.join(map(plain, g)) for g in groups]
-            plainly = [not any(x in t for x in _WIDE) and t.count(b"<|") == (len(g) - 1) * separator.count(b"<|") for t, g in zip(texts, groups, strict=True)]
+            texts = [separator + separator.join([p[1:] if p[0] < 3 else b" " + p for p in g]) for g in groups]
+            plainly = [not any(x in t for x in _WIDE) and t.count(b"<|") == len(g) * separator.count(b"<|") for t, g in zip(texts, groups, strict=True)]
             for g, e, ok in zip(groups, self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False), plainly, strict=True):
                 ids = np.array(e.ids, "<u4")
                 cuts = np.flatnonzero(ids == self.between)
-                if ok and len(cuts) == len(g) - 1:
-                    self.known.update(zip(g, self.parts(ids, np.r_[0, cuts + 1], np.r_[cuts, len(ids)]), strict=True))
+                if ok and len(cuts) == len(g):
+                    self.known.update(zip(g, self.parts(ids, cuts + [p[0] != 0 for p in g], np.r_[cuts[1:], len(ids)]), strict=True))
                 else:
                     alone += g
         for p, e in zip(alone, self.tokenizer.encode_batch_fast([plain(p).decode("utf-8", "replace") for p in alone], add_special_tokens=False), strict=True):
@@ -331,9 +363,58 @@ class Pieces:
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
 
+    def found(self, pieces: list[bytes]) -> list:
+        """The values of distinct pieces."""
+        values = list(map(self.known.get, pieces))
+        if None in values:
+            at = [i for i, v in enumerate(values) if v is None]
+            missing = [pieces[i] for i in at]
+            if self.older:
+                again = [(p, v) for p, v in zip(missing, map(self.older.get, missing), strict=True) if v is not None]
+                self.known.update(again)
+                self.learn([p for p in missing if p not in self.known] if again else missing)
+            else:
+                self.learn(missing)
+            for i, v in zip(at, map(self.known.__getitem__, missing), strict=True):
+                values[i] = v
+        return values
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text."""
-        return [b"".join(v) for v in self.values(texts)]
+        """Ids of each text. Each distinct piece of ``LINE_BYTES`` of texts is looked up once, and the rest is array work."""
+        out: list[bytes] = [b""] * len(texts)
+        line = _LINES.get(self.cut)
+        places, lines, lists, size = [], [], [], 0
+        for i, t in enumerate(texts):
+            own = line(t) if line else None
+            if own is None:
+                lists.append((i, self.cut(t)))
+            else:
+                places.append(i)
+                lines.append(own)
+            size += len(t)
+            if size >= LINE_BYTES or i + 1 == len(texts):
+                self._group_ids(places, lines, lists, out)
+                places, lines, lists, size = [], [], [], 0
+        return out
+
+    def _group_ids(self, places: list[int], lines: list[bytes], lists: list[tuple[int, list[bytes]]], out: list[bytes]) -> None:
+        pieces, ends = pieces_of_lines(lines)
+        if lists:
+            pieces = pa.concat_arrays([pieces, pa.array([p for _, own in lists for p in own], pa.binary())])
+            ends = np.r_[ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(own) for _, own in lists])]
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        values = self.found(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        many = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        first = np.cumsum(many) - many
+        flat = np.frombuffer(b"".join(values), "<u4")
+        self.trim()
+        n = many[codes]
+        upto = np.cumsum(n)
+        data = flat[np.repeat(first[codes] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        cuts = np.r_[0, np.r_[0, upto][ends]] * 4
+        for i, a, b in zip([*places, *(i for i, _ in lists)], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[i] = data[a:b]
 
 
 _workers: dict = {}

@@ -171,3 +171,45 @@ def test_conversations(spark):
             used[r["sequence_id"]] = [u[0] + r["n_tokens"], u[1] + 1, u[2] + r["n_loss"]]
     assert all(u[0] <= 2048 and u[1] <= 12 and u[2] <= 1024 for u in used.values())
     assert packing.pack_conversations(df.limit(0), BYTES, **limits).count() == 0
+
+
+class Counted:
+    """A tokenizer that notes how many texts it is given."""
+
+    def __init__(self, own):
+        self.own, self.given = own, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += len(texts)
+        return self.own.encode_batch_fast(texts, **options)
+
+
+class Looked(dict):
+    """A cache that counts how often it is asked."""
+
+    asked = 0
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+@pytest.mark.parametrize(("path", "cut"), [(BYTES, spaced_pieces), (WORDS, space_dropped_pieces)])
+def test_a_repeated_piece_is_looked_up_once(path, cut):
+    pieces = Pieces(path, cut)
+    pieces.known = Looked()
+    texts = ["the cat sat " * 300, "", "on the\nmat\n\n", "mat \x01 cat", "the cat sat " * 300]
+    assert [list(array.array("I", x)) for x in pieces.ids([t.encode() for t in texts])] == [ids_of(path, t) for t in texts]
+    assert pieces.known.asked < 100
+
+
+def test_pieces_at_line_ends_are_encoded_together():
+    pieces = Pieces(BYTES, spaced_pieces)
+    pieces.tokenizer = Counted(pieces.tokenizer)
+    text = "\n".join(f"{w}{n} end" for n in range(100) for w in ("Line", "é", "...", "'s"))
+    assert list(array.array("I", pieces.ids([text.encode()])[0])) == ids_of(BYTES, text)
+    assert pieces.tokenizer.given < 10
