@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexibond.llm.common import filter_text, small_batches
+from lexibond.llm.common import filter_text, pieces_of_lines, small_batches
 
 #: Repetitions (each a walk and a sample), places in a sample, and edits allowed as a share of an item's words.
 REPETITIONS, PLACES, EDITS = 16, 3, 0.2
@@ -24,6 +24,7 @@ BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 #: A word in more than this share of the items isn't embedded, if an item has ``FEWEST`` others.
 COMMON, FEWEST = 0.02, 8
 _MARKS = ".,;:!?\"'()[]{}<>*_-–—“”‘’«»¿¡…|#%&$"
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _STEPS = 60
 #: Words from one sampled window of an item to the next, at most, and words in a window that starts within an item, at least.
 STRIDE, WINDOW = 12, 8
@@ -36,16 +37,34 @@ class Symbols:
         self.limit, self.known = limit, {}
 
     def of(self, text: bytes) -> np.ndarray:
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Symbols of each text; each distinct word of all of them is looked up once."""
+        words, ends = pieces_of_lines([t.translate(_SPACES) for t in texts])
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        symbols = list(map(self.known.get, distinct))
+        at = [i for i, v in enumerate(symbols) if v is None]
+        if at:
+            new = self.make([distinct[i] for i in at])
+            for i, v in zip(at, new, strict=True):
+                symbols[i] = v
+            if len(self.known) + len(at) > self.limit:
+                self.known.clear()
+            if len(at) <= self.limit:
+                self.known.update(zip([distinct[i] for i in at], new, strict=True))
+        out = np.array(symbols, np.uint64)[coded.indices.to_numpy()]
+        kept = out != 0
+        return np.split(out[kept], np.r_[0, np.cumsum(kept)][ends[:-1]]) if texts else []
+
+    @staticmethod
+    def make(words: list[bytes]) -> list[int]:
         import xxhash
 
-        words, known = text.split(), self.known
-        for w in set(words).difference(known):
-            bare = w.decode("utf-8", "replace").lower().strip(_MARKS)
-            known[w] = xxhash.xxh64_intdigest(bare) | 1 if bare else 0
-        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(known) > self.limit:
-            known.clear()
-        return out[out != 0]
+        # white space has no case and isn't skipped for a neighbour's, so words lower together as they do alone
+        bare = [w.strip(_MARKS) for w in b"\n".join(words).decode("utf-8", "replace").lower().split("\n")]
+        return [xxhash.xxh64_intdigest(w) | 1 if w else 0 for w in bare]
 
 
 def edit_ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -257,7 +276,7 @@ def _search(docs: DataFrame, sent, edits: float, key: str, text: str) -> DataFra
         index, own = sent.value, Symbols()
         for b in batches:
             keys = b.column(0).to_pylist()
-            best = _hits(index, [own.of(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()], edits)
+            best = _hits(index, own.of_all([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]), edits)
             rows = [(keys[d], index.items[n][0], *hit) for (d, n), hit in sorted(best.items())]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
@@ -305,7 +324,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str
             index, own = sent.value, Symbols()
 
             def keep(texts: list[bytes]) -> list[bool]:
-                held = {d for d, _ in _hits(index, [own.of(t) for t in texts], edits)}
+                held = {d for d, _ in _hits(index, own.of_all(texts), edits)}
                 return [d not in held for d in range(len(texts))]
 
             return keep

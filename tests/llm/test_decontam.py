@@ -141,3 +141,14 @@ def test_blocks_and_edges(spark, monkeypatch):
         assert sorted(str(r["doc_id"]) for r in decontam.clean(df, bench).collect()) == ["2", "3"]
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.clean(df, bench.limit(0)).count() == len(docs)
     assert decontam.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_symbols_of_many_texts_at_once():
+    texts = ["The cat, the CAT.", "", " \t\n", "ΑΣ\vΣ\fΑΣ\rb", "-- (cat) --", "a\xa0b a\x85b \x1c", "İstanbul straße"]
+    for limit in (150_000, 3):
+        own, alone = decontam.Symbols(limit), decontam.Symbols(limit)
+        got = own.of_all([t.encode() for t in texts])
+        assert [x.tolist() for x in got] == [alone.of(t.encode()).tolist() for t in texts]
+    assert [len(x) for x in got] == [4, 0, 0, 4, 1, 3, 2]
+    assert len(set(got[0].tolist())) == 2 and got[4].tolist() == got[0][1:2].tolist()
+    assert decontam.Symbols().of_all([]) == []
