@@ -213,3 +213,10 @@ def test_pieces_at_line_ends_are_encoded_together():
     text = "\n".join(f"{w}{n} end" for n in range(100) for w in ("Line", "é", "...", "'s"))
     assert list(array.array("I", pieces.ids([text.encode()])[0])) == ids_of(BYTES, text)
     assert pieces.tokenizer.given < 10
+
+
+def test_ids_stay_with_their_texts_over_groups(monkeypatch):
+    monkeypatch.setattr("lexibond.llm.common.LINE_BYTES", 40)
+    for path, cut in ((BYTES, spaced_pieces), (WORDS, space_dropped_pieces)):
+        got = Pieces(path, cut, limit=10).ids([(t or "").encode() for t in TEXTS * 3])
+        assert [list(array.array("I", x)) for x in got] == [ids_of(path, t) for t in TEXTS * 3]
